@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking", "conversations")
+MODULES = ("ranking", "splitting", "conversations", "packing", "mixing")
 
 
 def _collect(name: str) -> dict:
