@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("ranking", "defects", "splitting", "conversations", "packing", "mixing")
+MODULES = ("ranking", "defects", "splitting", "conversations", "packing", "mixing", "garble")
 
 
 def _collect(name: str) -> dict:
