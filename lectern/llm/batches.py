@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in a batch sent to Python; a batch of long texts then stays far below a worker's memory.
 ROWS_PER_BATCH = 256
@@ -18,6 +18,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS_PER_BATCH))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt out over all cores where it comes in fewer partitions than there are.
+
+    For scans of few files that feed expensive Python work; large inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def emit(rows: Iterable[tuple], schema: pa.Schema, at_once: int = 4096, characters: int = 8_000_000) -> Iterator[pa.RecordBatch]:
     """Record batches of ``rows``, of at most so many rows and characters of text each."""
     held: list[tuple] = []

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import small_batches
+from lectern.llm.batches import small_batches, spread
 
 #: A byte-pair vocabulary for many languages, as ranks; any file of that form can be named instead.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -39,4 +39,4 @@ def with_tokens(df: DataFrame, text: str = "text", name: str = "tokens", vocabul
         for part in parts:
             yield pd.Series([len(tokenizer.encode_ordinary(t)) if t else 0 for t in part], dtype="int64")
 
-    return df.withColumn(name, count(F.col(text)))
+    return spread(df).withColumn(name, count(F.col(text)))
