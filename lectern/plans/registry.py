@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import outlines
+from lectern.plans import knowledge, operations, outlines, passages, searching
 
-MODULES = (outlines,)
+MODULES = (searching, passages, knowledge, operations, outlines)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return outlines.p3_paths(spark, sf_dir)
+    return searching.local_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
