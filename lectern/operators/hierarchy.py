@@ -35,7 +35,7 @@ def known_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """The links both of whose ends have a row in ``nodes(node)``."""
     parents = nodes.select(F.col("node").alias("parent"))
     children = nodes.select(F.col("node").alias("child"))
-    return links.join(parents, "parent", "left_semi").join(children, "child", "left_semi")
+    return links.join(parents, "parent", "left_semi").join(children, "child", "left_semi").select("parent", "child")
 
 
 def unsettled(links: DataFrame) -> DataFrame:
