@@ -45,15 +45,18 @@ def unsettled(links: DataFrame) -> DataFrame:
     nodes reached by upward walks of one and the same length, longer than any simple path.
     """
     pointers = links.select(F.col("child").alias("node"), F.col("parent").alias("anc"))
-    pointers, before = cut(pointers), None
-    while True:
+    rows, nodes = pointers.count(), None
+    while rows:
         # Upward walks that end are dropped by the inner join; a node whose every walk ends goes.
         upper = pointers.select(F.col("node").alias("anc"), F.col("anc").alias("upper"))
         pointers = cut(pointers.join(upper, "anc").select("node", F.col("upper").alias("anc")).distinct())
-        left = pointers.select("node").distinct().count()
-        if left == 0 or left == before:
-            return pointers
-        before = left
+        rows, before = pointers.count(), rows
+        # Nodes are counted only where few pointers went, and compared with the round before.
+        left = pointers.select("node").distinct().count() if rows > 0.8 * before else None
+        if left is not None and left == nodes:
+            break
+        nodes = left
+    return pointers
 
 
 def _far_ends(pointers: DataFrame) -> DataFrame:
@@ -72,47 +75,60 @@ def _far_ends(pointers: DataFrame) -> DataFrame:
         before = number
 
 
+def _closed_walks(links: DataFrame, most: int = 64) -> DataFrame | None:
+    """(node): what can be reached from itself, by doubling the set of (source, node) reached.
+
+    None if the set outgrows ``most`` pairs a link, as in a large tangle of cycles."""
+    reach = links.select(F.col("parent").alias("source"), F.col("child").alias("node"))
+    before = first = reach.count()
+    while before <= most * first:
+        onward = reach.select(F.col("source").alias("node"), F.col("node").alias("far"))
+        reach = cut(reach.unionByName(reach.join(onward, "node").select("source", F.col("far").alias("node"))).distinct())
+        number = reach.count()
+        if number == before:
+            return reach.where("source = node").select("node")
+        before = number
+    return None
+
+
+def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """``values(node, value)`` after each node took the greatest value that reaches it along
+    ``edges(source, node)``; one row per node throughout."""
+    while True:
+        pushed = edges.join(values.select(F.col("node").alias("source"), "value"), "source").select("node", "value", F.lit(None).alias("own"))
+        values = cut(
+            values.select("node", "value", F.col("value").alias("own"))
+            .unionByName(pushed)
+            .groupBy("node")
+            .agg(F.max("value").alias("value"), F.max("own").alias("own"))
+        )
+        if is_empty(values.where("value <> own")):
+            return values.select("node", "value")
+
+
 def _strong(links: DataFrame) -> DataFrame:
     """Nodes in strongly connected sets of two or more, by colouring; (node).
 
-    Each pass spreads the greatest reachable label down the links until it is stable, then walks
-    up from every label's owner within its colour: what is met is the owner's strong set.  All
+    Each pass spreads the greatest label that reaches a node down the links, then marks, upwards
+    within each colour, what reaches the label's owner: that is the owner's strong set.  All
     states are one row per node.  Meant for the branching rest that the linear rule leaves.
     """
     found = None
     edges = links
     while not is_empty(edges):
         nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-        colours = nodes.select("node", F.col("node").alias("colour"))
-        while True:
-            pushed = edges.join(colours.withColumnRenamed("node", "parent"), "parent").select(
-                F.col("child").alias("node"), "colour"
-            )
-            new = cut(colours.unionByName(pushed).groupBy("node").agg(F.max("colour").alias("colour")))
-            changed = new.join(colours, ["node", "colour"], "left_anti")
-            colours, stable = new, is_empty(changed)
-            if stable:
-                break
+        colours = _spread(nodes.select("node", F.col("node").alias("value")), edges.select(F.col("parent").alias("source"), F.col("child").alias("node")))
         inside = cut(
-            edges.join(colours.select(F.col("node").alias("parent"), "colour"), "parent")
-            .join(colours.select(F.col("node").alias("child"), F.col("colour").alias("other")), "child")
-            .where("colour = other")
-            .select("parent", "child", "colour")
+            edges.join(colours.select(F.col("node").alias("parent"), "value"), "parent")
+            .join(colours.select(F.col("node").alias("child"), F.col("value").alias("other")), "child")
+            .where("value = other")
+            .select(F.col("child").alias("source"), F.col("parent").alias("node"))
         )
-        members = colours.where("node = colour")
-        front = members
-        while not is_empty(front):
-            front = cut(
-                front.withColumnRenamed("node", "child")
-                .join(inside, ["child", "colour"])
-                .select(F.col("parent").alias("node"), "colour")
-                .distinct()
-                .join(members, ["node", "colour"], "left_anti")
-            )
-            members = cut(members.unionByName(front))
+        marks = _spread(colours.select("node", (F.col("node") == F.col("value")).cast("int").alias("value")), inside)
+        members = cut(marks.where("value = 1").select("node").join(colours, "node"))
         # One member alone is a cycle only through a self-link, which the caller handles.
-        sets = members.join(members.groupBy("colour").count().where("count > 1").select("colour"), "colour", "left_semi")
-        found = sets.select("node") if found is None else found.unionByName(sets.select("node"))
+        sets = members.join(members.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi").select("node")
+        found = sets if found is None else found.unionByName(sets)
         gone = members.select("node")
         edges = cut(
             edges.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(
@@ -128,7 +144,8 @@ def spoilt_by_cycles(links: DataFrame) -> DataFrame:
     Unsettled nodes come from pointer doubling.  Doubling on past their number, the pointers' far
     ends are the nodes on cycles, and, only where cycles are linked to one another, the nodes of
     the links between them.  Where every far end has one parent among the far ends there are no
-    such links and the far ends are the answer; else colouring separates the two.
+    such links and the far ends are the answer; else the pairs reached separate the two or, where
+    these are too many, colouring.
     """
     pointers = unsettled(links)
     if is_empty(pointers):
@@ -141,8 +158,11 @@ def spoilt_by_cycles(links: DataFrame) -> DataFrame:
     if is_empty(among.groupBy("child").count().where("count > 1")):
         on_cycle = ends
     else:
-        loops = among.where("parent = child").select(F.col("parent").alias("node"))
-        on_cycle = _strong(cut(among.where("parent <> child"))).union(loops).distinct()
+        among = cut(among)
+        on_cycle = _closed_walks(among)
+        if on_cycle is None:
+            loops = among.where("parent = child").select(F.col("parent").alias("node"))
+            on_cycle = _strong(cut(among.where("parent <> child"))).union(loops).distinct()
     return spoilt.join(on_cycle.withColumn("hit", F.lit(True)), "node", "left").select(
         "node", F.when(F.col("hit"), "on_cycle").otherwise("below_cycle").alias("finding")
     )

@@ -142,10 +142,14 @@ def outline_parents(entries: DataFrame) -> DataFrame:
     return entries.join(found, ["document", "ordinal"])
 
 
-@F.pandas_udf("double")
-def title_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+def title_ratio(left: Column, right: Column) -> Column:
     """Likeness of two titles by matching blocks, 0 for titles under six characters unless equal."""
-    return pd.Series([1.0 if a == b else 0.0 if min(len(a or ""), len(b or "")) < 6 else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
+
+    @F.pandas_udf("double")
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([1.0 if x == y else 0.0 if min(len(x or ""), len(y or "")) < 6 else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+
+    return ratio(left, right)
 
 
 def page_blocks(pages: int, per_unit: int) -> list[tuple[int, int]]:

@@ -72,6 +72,7 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composition_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The statements that each sound composition rests on, through its compositions."""
     nodes, links = composition_graph(spark, sf_dir)
+    links = cut(links)
     paths = full_paths(nodes, links, cut(spoilt_by_cycles(links)))
     above = paths.select("node", F.explode("path").alias("composition")).distinct()
     members = table(spark, sf_dir, "composition_revisions").select(F.col("draft_id").alias("node"), F.explode("members").alias("m"))

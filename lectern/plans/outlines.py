@@ -13,16 +13,11 @@ def outline_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """Nodes (node, label), their breadcrumbs (node, breadcrumb) and links of source_nodes.
 
     A link is recorded by the parent's ``children``, the child's ``parent_id`` or both."""
-    rows = cut(
-        table(spark, sf_dir, "source_nodes")
-        .select(F.col("node_id").alias("node"), "parent_id", "title", "breadcrumb", "children")
-        .where("node is not null")
-        .distinct()
-    )
+    rows = table(spark, sf_dir, "source_nodes").select(F.col("node_id").alias("node"), "parent_id", "title", "breadcrumb", "children").where("node is not null")
     nodes = rows.groupBy("node").agg(F.min(F.coalesce(squeeze(F.col("title")), F.lit(""))).alias("label"))
     down = rows.select(F.col("node").alias("parent"), F.explode("children").alias("child"))
     up = rows.select(F.col("parent_id").alias("parent"), F.col("node").alias("child"))
-    return nodes, rows.select("node", "breadcrumb"), cut(known_links(clean_links(down.union(up)), nodes))
+    return nodes, rows.select("node", "breadcrumb").distinct(), known_links(clean_links(down.union(up)), nodes)
 
 
 def composition_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -31,7 +26,7 @@ def composition_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     nodes = rows.groupBy("node").agg(F.min("canonical_key").alias("label"))
     member = rows.select("node", F.explode("members").alias("m")).where(F.lower(squeeze(F.col("m.member_type"))) == "composition")
     links = clean_links(member.select(F.col("node").alias("parent"), F.col("m.draft_id").alias("child")))
-    return nodes, cut(known_links(links, nodes))
+    return nodes, known_links(links, nodes)
 
 
 def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:

@@ -93,3 +93,11 @@ def test_nulls_unknown_ids_and_empty_input(spark):
 def test_squeeze_knows_the_ideographic_space(spark):
     df = spark.createDataFrame([("　 a 　\n b　",)], "t string")
     assert df.select(h.squeeze(df.t)).first()[0] == "a b"
+
+
+def test_tangles_by_colouring(spark, monkeypatch):
+    whole = h._closed_walks
+    monkeypatch.setattr(h, "_closed_walks", lambda links: whole(links, most=0))
+    edges = [("a", "b"), ("b", "a"), ("b", "x"), ("x", "c"), ("c", "d"), ("d", "c"), ("a", "d"), ("d", "z"), ("s", "s"), ("s", "a")]
+    _, links = graph(spark, edges)
+    assert findings(links) == brute(edges)
