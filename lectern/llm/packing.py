@@ -9,7 +9,7 @@ An item over the capacity is split into full containers and a rest; no other ite
 is sent on as soon as its place is known, so memory holds the open containers' free room only,
 however many items go into one.  Only (id, size) rows are shuffled; texts are read once, for sizes.
 
-Nulls: a null or empty text has no tokens and still gets a place; a null id is kept.  Repeated
+Nulls: a null or empty text, or a null size, has no tokens and still gets a place; a null id is kept.  Repeated
 rows are items of their own.  A kind with a null or non-positive capacity is left out.  Empty
 input gives an empty result.
 """
@@ -98,7 +98,7 @@ def pack(items: DataFrame, capacities: dict[str, int], partitions: int | None =
     item and kind, or one per piece of an item over the capacity."""
     spark = items.sparkSession
     kinds = F.array(*(F.struct(F.lit(k).alias("container_kind"), F.lit(c).cast("long").alias("capacity")) for k, c in sorted(capacities.items()) if c and c > 0))
-    each = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("size"), F.explode(kinds).alias("k")).select("k.*", "doc_id", "size")
+    each = items.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("tokens").cast("long"), F.lit(0)).alias("size"), F.explode(kinds).alias("k")).select("k.*", "doc_id", "size")
     last = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.col("capacity"))
     parts = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last))).select(
         "container_kind",
