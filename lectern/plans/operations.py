@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import is_blank
 from lectern.operators import ledger
-from lectern.session import table
+from lectern.session import table, work_folder
+from lectern.streaming import ledgers
 
 _TURN_COLUMNS = ("question", "answer", "status", "turn_no", "conversation_id")
 
@@ -96,6 +97,13 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def usage_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and tokens by status over all states, added up by a stream of the table's files."""
+    folder = work_folder(spark)
+    ledgers.usage_stream(ledgers.stream(spark, f"{sf_dir}/chat_turns.parquet"), f"{folder}/sums", f"{folder}/progress")
+    return ledgers.usage_totals(spark, f"{folder}/sums")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +119,7 @@ QUERIES = {
         turn_contiguity,
         repeated_questions,
         event_windows,
+        usage_stream,
     )
 }
 
@@ -143,5 +152,6 @@ ORACLE = {
   HAVING NOT coalesce(min(turn_no) = 1 AND max(turn_no) = count(*) AND count(DISTINCT turn_no) = count(*), false)""",
     "repeated_questions": _T
     + "SELECT trim(regexp_replace(lower(question), '[\\s\\p{Z}]+', ' ', 'g')) AS question, count(*) AS turns FROM turn WHERE question IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    "usage_stream": "SELECT status, count(*) AS calls, sum(total_tokens) AS tokens FROM chat_turns GROUP BY 1",
     "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
 }

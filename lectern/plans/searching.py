@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.terms import set_cosine, title_similarity, token_set
 from lectern.operators import search
-from lectern.plans.outlines import outline_graph
+from lectern.plans.outlines import _GRAPH, outline_graph
 from lectern.session import table
 
 
@@ -180,4 +180,12 @@ WITH t AS (SELECT id AS turn_id, question FROM (SELECT *, row_number() OVER (PAR
 h AS (SELECT DISTINCT turn_id, statement_revision_id, semantic_text FROM retrieved_statements),
 s AS (SELECT turn_id, statement_revision_id, {_TOKENS.format('question')} AS q, {_TOKENS.format('semantic_text')} AS c FROM h JOIN t USING (turn_id))
 SELECT turn_id, statement_revision_id, CASE WHEN len(q) * len(c) > 0 THEN round(len(list_intersect(q, c)) / sqrt(len(q) * len(c)), 6) ELSE 0.0 END AS score FROM s""",
+    "title_pairs": _GRAPH
+    + """
+, pair AS (SELECT l.parent, l.child, a.label AS x, b.label AS y FROM link l JOIN onode a ON a.node = l.parent JOIN onode b ON b.node = l.child WHERE l.record = 'outline'),
+gram AS (SELECT *, CASE WHEN length(x) < 2 THEN [x] ELSE list_distinct(list_transform(range(1, length(x)), lambda i: x[i:i+1])) END AS gx,
+  CASE WHEN length(y) < 2 THEN [y] ELSE list_distinct(list_transform(range(1, length(y)), lambda i: y[i:i+1])) END AS gy FROM pair)
+SELECT parent, child, round(CASE WHEN x = '' OR y = '' THEN 0.0 WHEN x = y THEN 1.0
+  WHEN contains(x, y) OR contains(y, x) THEN least(length(x), length(y)) / greatest(length(x), length(y)) * 0.35 + 0.65
+  ELSE len(list_intersect(gx, gy)) / (len(gx) + len(gy) - len(list_intersect(gx, gy))) END, 6) AS likeness FROM gram""",
 }

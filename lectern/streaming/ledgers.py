@@ -13,7 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """A parquet table as a stream of its files."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    # As a pattern, the path may be a folder of files or one file.
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def usage_stream(rows: DataFrame, out: str, checkpoint: str) -> None:
