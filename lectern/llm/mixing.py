@@ -30,19 +30,20 @@ from pyspark.sql.window import Window
 from lectern.llm.tokens import VOCABULARY, with_tokens
 from lectern.session import cut, table
 
-#: Tokens of a block, blocks of an output shard, ranges of the hash per source, and the seed.
-BLOCK, SHARD, RANGES, SEED = 512, 1024, 256, 17
+#: Tokens of a block, blocks of an output shard, records meant for a range of the hash, and the seed.
+BLOCK, SHARD, RANGE_ROWS, SEED = 512, 1024, 1 << 20, 17
 
 
 def source_key(column):
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(column)), r"[^\p{L}\p{N}]+", "_"), "^_+|_+$", "")
 
 
-def stream(records: DataFrame, ranges: int = RANGES, seed: int = SEED) -> DataFrame:
+def stream(records: DataFrame, range_rows: int = RANGE_ROWS, seed: int = SEED) -> DataFrame:
     """``records(source_name, doc_id, tokens)`` with ``start``, the tokens before each in its stream."""
-    rows = records.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "source_name"))
-    # The upper bits of the hash, made non-negative, name the range.
-    rows = cut(rows.withColumn("_range", F.floor((F.col("_hash").cast("double") / 2.0**63 + 1) / 2 * ranges)))
+    rows = cut(records.withColumn("_hash", F.xxhash64(F.lit(seed), "doc_id", "source_name")))
+    # So many equal ranges of the hash that even a source of all records has few to a range.
+    ranges = max(16, -(-rows.count() // range_rows))
+    rows = rows.withColumn("_range", F.floor((F.col("_hash").cast("double") / 2.0**63 + 1) / 2 * ranges))
     sums = rows.groupBy("source_name", "_range").agg(F.sum("tokens").alias("_sum"))
     earlier = Window.partitionBy("source_name").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("source_name", "_range", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))

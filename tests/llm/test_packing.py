@@ -65,7 +65,7 @@ def test_streams_and_uses(spark):
     dice = random.Random(6)
     rows = [("hot", k, dice.randrange(1, 60)) for k in range(500)] + [("small", 1000 + k, 5) for k in range(20)] + [("small", 1000, 5)]
     df = spark.createDataFrame(rows, "source_name string, doc_id bigint, tokens bigint")
-    placed = mixing.stream(df, ranges=16).orderBy("source_name", "start").collect()
+    placed = mixing.stream(df, range_rows=20).orderBy("source_name", "start").collect()
     at = {}
     for r in placed:
         assert r.start == at.get(r.source_name, 0)
