@@ -7,15 +7,15 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in a batch sent to Python; a batch of long texts then stays far below a worker's memory.
-ROWS_PER_BATCH = 256
+#: Bytes in a batch sent to Python, however long its texts are.
+BATCH_BYTES = 16 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows of the session's Arrow batches to ``ROWS_PER_BATCH``."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= ROWS_PER_BATCH:
-        spark.conf.set(key, str(ROWS_PER_BATCH))
+    """Bounds the bytes of the session's Arrow batches where they stand at Spark's default (64 MB)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == f"{64 << 20}b":
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def spread(df: DataFrame) -> DataFrame:
