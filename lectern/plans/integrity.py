@@ -97,5 +97,5 @@ WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 SELECT conversation_id, turn_no FROM (SELECT conversation_id, CAST(unnest(range(1, max(turn_no) + 1)) AS INTEGER) AS turn_no FROM t GROUP BY 1)
 EXCEPT SELECT conversation_id, turn_no FROM t""",
     "event_properties": r"""
-SELECT event_type, count(*) AS events, sum(k) AS k, count(k) AS known FROM (SELECT event_type, CAST(nullif(regexp_extract(props, '"k":\s*(-?\d+)', 1), '') AS BIGINT) AS k FROM events) GROUP BY 1""",
+SELECT event_type, count(*) AS events, CAST(sum(k) AS BIGINT) AS k, count(k) AS known FROM (SELECT event_type, CAST(nullif(regexp_extract(props, '"k":\s*(-?\d+)', 1), '') AS BIGINT) AS k FROM events) GROUP BY 1""",
 }

@@ -50,7 +50,7 @@ def queue_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lease_queue_head(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger.queue_head(_turns(spark, sf_dir)).select("id", "conversation_id", "created_at")
+    return ledger.queue_head(_turns(spark, sf_dir)).select("id", "conversation_id", F.unix_micros("created_at").alias("created_us"))
 
 
 def expired_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,8 @@ def expired_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paginated_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of 20 of the turns whose question mentions a ledger, newest first."""
     found = _turns(spark, sf_dir).where(F.col("question").ilike("%ledger%")).select("id", "conversation_id", "status", "created_at")
-    return ledger.page(found, [F.desc_nulls_last("created_at"), F.col("id")], 2, 20)
+    paged = ledger.page(found, [F.desc_nulls_last("created_at"), F.col("id")], 2, 20)
+    return paged.select("id", "conversation_id", "status", F.unix_micros("created_at").alias("created_us"))
 
 
 def audit_total(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly tumbling windows over the events (an extension: the batch twin of the stream)."""
     events = table(spark, sf_dir, "events")
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("value")).select(
-        F.col("w.start").alias("window_start"), "event_type", "events", "value"
+        F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "events", "value"
     )
 
 
@@ -130,20 +131,20 @@ _PRICE = "(prompt_tokens * 1.0::DOUBLE + completion_tokens * 4.0::DOUBLE) / 1e6"
 
 ORACLE = {
     "usage_summary": _T
-    + f"""SELECT answer_mode, status, count(*) AS calls, coalesce(sum(prompt_tokens), 0) AS prompt_tokens, coalesce(sum(completion_tokens), 0) AS completion_tokens,
-  coalesce(sum(total_tokens), 0) AS total_tokens, count(*) FILTER (status = 'failed') AS failures, round(coalesce(sum({_PRICE}), 0), 6) AS cost,
+    + f"""SELECT answer_mode, status, count(*) AS calls, CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
+  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, count(*) FILTER (status = 'failed') AS failures, round(coalesce(sum({_PRICE}), 0), 6) AS cost,
   count(*) FILTER ({_PRICE} IS NULL) AS unknown_cost, grouping(answer_mode, status) AS level FROM turn GROUP BY ROLLUP (answer_mode, status)""",
     "book_tokens": _T
-    + """SELECT book_revision_id, tokens, round(tokens / sum(tokens) OVER (), 6) AS share FROM (SELECT book_revision_id, sum(total_tokens) AS tokens FROM turn GROUP BY 1) WHERE tokens > 0""",
+    + """SELECT book_revision_id, tokens, round(tokens / sum(tokens) OVER (), 6) AS share FROM (SELECT book_revision_id, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM turn GROUP BY 1) WHERE tokens > 0""",
     "admin_stats": _T
     + """SELECT count(*) AS turns, count(*) FILTER (status = 'succeeded') AS succeeded, count(*) FILTER (status = 'refused') AS refused, count(*) FILTER (status = 'failed') AS failed,
   count(*) FILTER (status IN ('queued', 'retrieving', 'generating')) AS active, count(*) FILTER (NOT coalesce(regexp_matches(answer, '[\\p{L}\\p{N}]'), false)) AS blank_answers,
-  coalesce(sum(total_tokens), 0) AS total_tokens, count(*) FILTER (created_at >= (SELECT max(created_at) FROM turn) - INTERVAL 24 HOURS) AS last_day FROM turn""",
+  CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens, count(*) FILTER (created_at >= (SELECT max(created_at) FROM turn) - INTERVAL 24 HOURS) AS last_day FROM turn""",
     "queue_depth": _T + "SELECT status, count(*) AS turns FROM turn GROUP BY 1",
-    "lease_queue_head": _T + "SELECT id, conversation_id, created_at FROM turn WHERE status = 'queued' ORDER BY created_at NULLS LAST, id LIMIT 1",
+    "lease_queue_head": _T + "SELECT id, conversation_id, epoch_us(created_at) AS created_us FROM turn WHERE status = 'queued' ORDER BY created_at NULLS LAST, id LIMIT 1",
     "expired_leases": _T
     + "SELECT id, status FROM turn WHERE status IN ('retrieving', 'generating') AND coalesce(started_at, created_at) + INTERVAL 300 SECONDS < (SELECT max(ingested_at) FROM turn)",
-    "paginated_audit": _T + "SELECT id, conversation_id, status, created_at FROM turn WHERE question ILIKE '%ledger%' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20",
+    "paginated_audit": _T + "SELECT id, conversation_id, status, epoch_us(created_at) AS created_us FROM turn WHERE question ILIKE '%ledger%' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20",
     "audit_total": _T + "SELECT count(*) AS total FROM turn WHERE question ILIKE '%ledger%'",
     "active_turn_violation": _T
     + "SELECT conversation_id, count(*) AS active FROM turn WHERE status IN ('queued', 'retrieving', 'generating') AND conversation_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
@@ -152,6 +153,6 @@ ORACLE = {
   HAVING NOT coalesce(min(turn_no) = 1 AND max(turn_no) = count(*) AND count(DISTINCT turn_no) = count(*), false)""",
     "repeated_questions": _T
     + "SELECT trim(regexp_replace(lower(question), '[\\s\\p{Z}]+', ' ', 'g')) AS question, count(*) AS turns FROM turn WHERE question IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "usage_stream": "SELECT status, count(*) AS calls, sum(total_tokens) AS tokens FROM chat_turns GROUP BY 1",
-    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
+    "usage_stream": "SELECT status, count(*) AS calls, CAST(sum(total_tokens) AS BIGINT) AS tokens FROM chat_turns GROUP BY 1",
+    "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS window_start, event_type, count(*) AS events, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
 }

@@ -174,7 +174,7 @@ walk AS (
   SELECT doc_id, segment, t, t AS held, 1 AS pack FROM size WHERE segment = 1
   UNION ALL SELECT s.doc_id, s.segment, s.t, CASE WHEN w.held + s.t > 200 THEN s.t ELSE w.held + s.t END, CASE WHEN w.held + s.t > 200 THEN w.pack + 1 ELSE w.pack END
   FROM walk w JOIN size s ON s.doc_id = w.doc_id AND s.segment = w.segment + 1)
-SELECT doc_id, pack, min(segment) AS first_segment, max(segment) AS last_segment, sum(t) AS tokens FROM walk GROUP BY 1, 2""",
+SELECT doc_id, pack, min(segment) AS first_segment, max(segment) AS last_segment, CAST(sum(t) AS BIGINT) AS tokens FROM walk GROUP BY 1, 2""",
     "per_source_cap": "SELECT source, doc_id, n_chars, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 3",
     "index_diff": """
 WITH c AS (SELECT DISTINCT source_path, content_hash, sha256(text) AS actual FROM chunks)
