@@ -156,7 +156,7 @@ def rank(fused: DataFrame, group: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(turn_id, kind, item, score, cited): every hit of a turn once."""
+    """(turn_id, kind, item, score): every hit of a turn once."""
     parts = []
     for kind, (name, key) in CHANNELS.items():
         rows = table(spark, sf_dir, name).select("turn_id", F.col(key).alias("item"), "score", "retrieved_at")

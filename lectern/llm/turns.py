@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import is_blank
-
-COLUMNS = ("id", "conversation_id", "turn_no", "question", "answer", "status", "created_at", "started_at", "finished_at", "ingested_at")
-
 
 def valid_turns(turns: DataFrame, *columns: str) -> DataFrame:
     """One row per ``id``: that with the greatest ``ingested_at``.
@@ -23,6 +19,3 @@ def valid_turns(turns: DataFrame, *columns: str) -> DataFrame:
         F.desc_nulls_last("ingested_at"), *(F.desc_nulls_last(c) for c in kept.columns if c not in ("id", "ingested_at"))
     )
     return kept.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
-
-
-__all__ = ["COLUMNS", "is_blank", "valid_turns"]
