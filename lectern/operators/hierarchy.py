@@ -205,6 +205,28 @@ def descendants(paths: DataFrame) -> DataFrame:
     )
 
 
+def reachable(links: DataFrame) -> DataFrame:
+    """(node, descendant, distance): every node with everything below it, by the fewest links.
+
+    ``links`` must be clean.  Cycles break nothing here: nodes on or below them have their rows
+    like all others, only that no node is its own descendant.  A shortest path of more than 2^k
+    links starts with one of exactly 2^k links, so each round joins just those pairs with all the
+    pairs known, and no such pair left means that all are found.
+    """
+    pairs = cut(
+        links.where("parent <> child").select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
+    )
+    length = 1
+    while True:
+        edge = pairs.where(F.col("distance") == length)
+        if is_empty(edge):
+            return pairs
+        onward = pairs.select(F.col("node").alias("descendant"), F.col("descendant").alias("far"), F.col("distance").alias("more"))
+        further = edge.join(onward, "descendant").where("node <> far").select("node", F.col("far").alias("descendant"), (F.col("distance") + F.col("more")).alias("distance"))
+        pairs = cut(pairs.unionByName(further).groupBy("node", "descendant").agg(F.min("distance").alias("distance")))
+        length *= 2
+
+
 def squeeze(column):
     """Trimmed text with each run of white space, the ideographic space included, made one space."""
     return F.trim(F.regexp_replace(column, r"[\s\p{Z}\x{85}]+", " "))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators.hierarchy import clean_links, descendants, full_paths, known_links, spoilt_by_cycles, squeeze
+from lectern.operators.hierarchy import clean_links, full_paths, known_links, reachable, spoilt_by_cycles, squeeze
 from lectern.session import cut, table
 
 
@@ -29,9 +29,9 @@ def composition_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     return nodes, known_links(links, nodes)
 
 
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Both graphs as one, so that every doubling round serves both: nodes, links, the spoilt and
-    the outline's breadcrumbs, each node a struct (record, id)."""
+def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both graphs as one, so that every doubling round serves both: nodes, links and the outline's
+    breadcrumbs, each node a struct (record, id)."""
     outline, crumbs, outline_links = outline_graph(spark, sf_dir)
     compositions, composition_links = composition_graph(spark, sf_dir)
 
@@ -41,7 +41,13 @@ def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     nodes = tag(outline, "outline", "node").unionByName(tag(compositions, "composition", "node"))
     ends = ("parent", "child")
     links = cut(tag(outline_links, "outline", *ends).unionByName(tag(composition_links, "composition", *ends)))
-    return nodes, links, cut(spoilt_by_cycles(links)), tag(crumbs, "outline", "node")
+    return nodes, links, tag(crumbs, "outline", "node")
+
+
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Nodes, links, the spoilt and the breadcrumbs of ``_links``."""
+    nodes, links, crumbs = _links(spark, sf_dir)
+    return nodes, links, cut(spoilt_by_cycles(links)), crumbs
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,9 +80,10 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record, node_id, descendant_id, distance) for the nodes that no cycle spoils."""
-    nodes, links, spoilt, _ = _forest(spark, sf_dir)
-    return descendants(full_paths(nodes, links, spoilt)).select(
+    """(record, node_id, descendant_id, distance) for all nodes, on and below cycles too; the SQL
+    below has the nodes that no cycle spoils only."""
+    _, links, _ = _links(spark, sf_dir)
+    return reachable(links).select(
         "node.record", F.col("node.id").alias("node_id"), F.col("descendant.id").alias("descendant_id"), "distance"
     )
 

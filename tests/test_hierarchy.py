@@ -101,3 +101,35 @@ def test_tangles_by_colouring(spark, monkeypatch):
     edges = [("a", "b"), ("b", "a"), ("b", "x"), ("x", "c"), ("c", "d"), ("d", "c"), ("a", "d"), ("d", "z"), ("s", "s"), ("s", "a")]
     _, links = graph(spark, edges)
     assert findings(links) == brute(edges)
+
+
+def test_cycles_cut_off_no_descendants(spark):
+    # a sound root above a cycle, what hangs below it, a shortcut, a long chain into a second cycle
+    edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("r", "e"), ("q", "q"), ("q", "p"), ("r", "c00")]
+    edges += [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(20)] + [("c20", "c15")]
+    down = {}
+    for a, b in edges:
+        down.setdefault(a, []).append(b)
+    want = {}
+    for n in down:
+        far, ring = {n: 0}, [n]
+        while ring:
+            ring = [far.setdefault(b, far[a] + 1) and b for a in ring for b in down.get(a, ()) if b not in far]
+        want |= {(n, x): d for x, d in far.items() if x != n}
+    _, links = graph(spark, edges)
+    rows = h.reachable(links).collect()
+    assert {(r.node, r.descendant): r.distance for r in rows} == want and len(rows) == len(want)
+    assert h.reachable(links.limit(0)).count() == 0
+
+
+def test_descendants_of_and_through_spoilt_nodes(spark, tmp_path):
+    from lectern.plans.outlines import p3_descendants
+
+    spark.createDataFrame(
+        [("r", None, ["a"]), ("a", "b", []), ("b", "a", ["x"]), ("x", None, ["x"])], "node_id string, parent_id string, children array<string>"
+    ).selectExpr("*", "node_id AS title", "CAST(NULL AS array<string>) AS breadcrumb").write.parquet(f"{tmp_path}/source_nodes.parquet")
+    spark.createDataFrame(
+        [("p", [("Composition ", "q")]), ("q", [("composition", "p")])], "draft_id string, members array<struct<member_type string, draft_id string>>"
+    ).selectExpr("*", "draft_id AS canonical_key").write.parquet(f"{tmp_path}/composition_revisions.parquet")
+    got = {(r.node_id, r.descendant_id, r.distance) for r in p3_descendants(spark, str(tmp_path)).collect()}
+    assert got == {("r", "a", 1), ("r", "b", 2), ("r", "x", 3), ("a", "b", 1), ("b", "a", 1), ("a", "x", 2), ("b", "x", 1), ("p", "q", 1), ("q", "p", 1)}
