@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.batches import emit, small_batches
 from lectern.llm.turns import valid_turns
-from lectern.operators.similarity import minhash_groups
+from lectern.operators.similarity import similar_groups
 from lectern.session import cut, table
 
 #: Questions a template must recur in, its expected share of refused answers, and the evidence needed.
@@ -211,7 +211,7 @@ def refusal_openings(tested: DataFrame) -> DataFrame:
             F.count("*").alias("n"), F.count_if("refused").alias("k"), F.approx_count_distinct("asked", 0.02).alias("questions")
         )
     )
-    groups = minhash_groups(counts.select("opening"), "opening", grams=3, similarity=0.8)
+    groups = similar_groups(counts.select("opening"), "opening", grams=3, similarity=0.8)
     whole = counts.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
     pooled = (
         counts.join(groups, "opening")

@@ -1,4 +1,4 @@
-"""Grouping of near-equal strings by MinHash with verification."""
+"""Grouping of near-equal strings by an exact similarity join."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.session import cut, is_empty
 
+#: Cells in which grams are counted to order them; the order matters for speed only.
+CELLS = 1 << 14
+
 
 def components(links: DataFrame) -> DataFrame:
     """(node, group) of the nodes in ``links(a, b)``: the least node that each is linked to, near or far.
@@ -29,28 +32,51 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def minhash_groups(texts: DataFrame, column: str, grams: int = 3, similarity: float = 0.8, bands: int = 8, rows: int = 4) -> DataFrame:
-    """(column, group): distinct strings, those linked by verified similarity in one group.
+def similar_pairs(sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all pairs of ``sets(id, grams)`` whose Jaccard similarity reaches ``similarity``.
 
-    Character n-grams are hashed ``bands * rows`` ways; strings that agree in all rows of a band
-    meet in a bucket and are compared with the bucket's least string, so a bucket of any size costs
-    one comparison a string.  A comparison counts if the Jaccard similarity reaches ``similarity``.
+    A prefix-filter join.  Grams are ordered from rare to frequent, by counts in ``CELLS`` cells; two
+    sets that are similar share one of their first ``n - similarity * n + 1`` grams and meet there.  What
+    meets is sifted in the join by bounds that every similar pair keeps (the grams from the first
+    shared one on, and the bits in which the parities of the sets' hashes differ), and what is left
+    is compared gram by gram.  Keys are rare grams; adaptive skew handling splits the hot ones.
     """
+    spark = sets.sparkSession
+    cell = F.pmod("gram", F.lit(CELLS)).alias("cell")
+    counts = spark.range(CELLS).withColumnRenamed("id", "cell").join(sets.select(F.explode("grams").alias("gram")).groupBy(cell).agg(F.count("*").alias("n")), "cell", "left")
+    counts = cut(counts.agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", F.coalesce("n", F.lit(0)).alias("n")))), lambda c: c["n"]).alias("counts")))
+    ordered = F.array_sort(F.transform("grams", lambda g: F.struct(F.get("counts", F.pmod(g, F.lit(CELLS)).cast("int")).alias("n"), g.alias("gram"))))
+    first = F.size("grams") - F.ceil(similarity * F.size("grams") - 1e-9).cast("int") + 1
+    parity = F.expr("aggregate(grams, 0L, (bits, g) -> bits ^ shiftleft(1L, cast(g & 63 AS int)))")
+    keys = (
+        sets.join(F.broadcast(counts))
+        .select("id", F.size("grams").alias("n"), parity.alias("parity"), F.posexplode(F.slice(ordered, F.lit(1), first)).alias("at", "key"))
+        .select("id", "n", "parity", "at", F.col("key.gram").alias("gram"))
+    )
+    a, b = keys.alias("a"), keys.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    most = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at"))
+    need = F.ceil(similarity / (1 + similarity) * both - 1e-9)
+    bounds = (most >= need) & (F.bit_count(F.col("a.parity").bitwiseXOR(F.col("b.parity"))) <= both - 2 * need)
+    met = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") < F.col("b.id")) & bounds)
+    pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    one, other = sets.select(F.col("id").alias("a"), F.col("grams").alias("_one")), sets.select(F.col("id").alias("b"), F.col("grams").alias("_other"))
+    shared = F.size(F.array_intersect("_one", "_other"))
+    return pairs.join(one, "a").join(other, "b").where(shared >= similarity * (F.size("_one") + F.size("_other") - shared) - 1e-9).select("a", "b")
+
+
+def similar_groups(texts: DataFrame, column: str, grams: int = 3, similarity: float = 0.8) -> DataFrame:
+    """(column, group): distinct strings, those linked by similarity, near or far, in one group.
+
+    A link is a pair whose character n-grams have a Jaccard similarity of at least ``similarity``; none
+    is left out.  The group is named by its least string."""
     padded = F.concat(F.lit(" " * (grams - 1)), F.col(column), F.lit(" " * (grams - 1)))
     shingles = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - grams + 1), lambda i: F.substring(padded, i, grams)))
-    base = texts.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_grams", F.transform(shingles, lambda s: F.xxhash64(s)))
-    band = F.array(
-        *(
-            F.xxhash64(F.lit(b), *(F.array_min(F.transform("_grams", lambda g, k=b * rows + r: F.xxhash64(F.lit(k), g))) for r in range(rows)))
-            for b in range(bands)
-        )
-    )
-    base = cut(base.withColumn("_bands", band))
-    spread = base.select(column, "_grams", F.explode("_bands").alias("_band"))
-    least = spread.groupBy("_band").agg(F.min(column).alias("_least"), F.count("*").alias("_n")).where("_n > 1").select("_band", "_least")
-    pairs = spread.join(least, "_band").where(F.col(column) != F.col("_least")).select(column, "_grams", "_least").dropDuplicates([column, "_least"])
-    other = base.select(F.col(column).alias("_least"), F.col("_grams").alias("_other"))
-    shared = F.size(F.array_intersect("_grams", "_other"))
-    links = pairs.join(other, "_least").where(shared >= similarity * (F.size("_grams") + F.size("_other") - shared))
-    grouped = components(links.select(F.col(column).alias("a"), F.col("_least").alias("b")))
-    return base.select(column).join(grouped.withColumnRenamed("node", column), column, "left").select(column, F.coalesce("group", column).alias("group"))
+    base = texts.select(column).where(F.col(column).isNotNull()).distinct()
+    base = cut(base.select(F.col(column).alias("id"), F.transform(shingles, lambda s: F.xxhash64(s)).alias("grams")))
+    grouped = components(similar_pairs(base, similarity)).withColumnRenamed("node", "id")
+    return base.select("id").join(grouped, "id", "left").select(F.col("id").alias(column), F.coalesce("group", "id").alias("group"))
+
+
+#: The name that similar_groups had when MinHash proposed its pairs.
+minhash_groups = similar_groups

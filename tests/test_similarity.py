@@ -25,3 +25,27 @@ def test_only_verified_strings_meet(spark):
     got = {r.t: r.group for r in minhash_groups(spark.createDataFrame([(t,) for t in rows], "t string"), "t").collect()}
     assert got[rows[0]] == got[rows[1]] == rows[0] and got[rows[2]] == got[rows[3]] and got[rows[4]] == rows[4] and got[""] == ""
     assert minhash_groups(spark.createDataFrame([], "t string"), "t").count() == 0
+
+
+def test_every_similar_pair_is_linked(spark):
+    # one-letter changes of a few phrases, many of which share buckets with strings unlike them
+    from lectern.operators.similarity import similar_groups
+
+    dice = random.Random(5)
+    rows = {"", "a", "ab", "yes", "不能回答"}
+    for phrase in ("i am afraid that this cannot", "the keeper of the northern lamp", "je ne peux pas répondre ici", "abababababababababab"):
+        for _ in range(60):
+            at, text = dice.randrange(len(phrase)), phrase
+            for _ in range(dice.randrange(5)):
+                text, at = text[:at] + dice.choice("abc ") + text[at + 1 :], dice.randrange(len(text))
+            rows.add(text)
+    rows = sorted(rows)
+    grams = {t: {f"  {t}  "[k : k + 3] for k in range(len(t) + 2)} for t in rows}
+    group = {t: t for t in rows}
+    for a in rows:
+        for b in rows:
+            if a < b and 10 * len(grams[a] & grams[b]) >= 8 * len(grams[a] | grams[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {t: low if g == high else g for t, g in group.items()}
+    got = {r.t: r.group for r in similar_groups(spark.createDataFrame([(t,) for t in rows], "t string"), "t").collect()}
+    assert got == group and len(set(group.values())) < len(rows)
