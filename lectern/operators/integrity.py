@@ -34,7 +34,7 @@ def reusable(wanted: DataFrame, done: DataFrame, *hashes: str) -> DataFrame:
 def stale(changed: DataFrame, below: DataFrame) -> DataFrame:
     """(node): the changed nodes and everything that depends on them, near or far.
 
-    ``below(node, descendant)`` as of ``hierarchy.descendants``, ``descendant`` depending on ``node``."""
+    ``below(node, descendant)`` as of ``hierarchy.reachable``, ``descendant`` depending on ``node``."""
     return changed.select("node").unionByName(below.join(changed.select("node"), "node").select(F.col("descendant").alias("node"))).distinct()
 
 

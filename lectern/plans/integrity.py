@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lectern.functions.labels import locator_label, slug
 from lectern.operators import integrity, ledger
-from lectern.operators.hierarchy import descendants, full_paths, spoilt_by_cycles
+from lectern.operators.hierarchy import reachable
 from lectern.plans.outlines import _GRAPH, composition_graph
-from lectern.session import cut, table
+from lectern.session import table
 
 
 def locator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,14 +41,13 @@ def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compositions without a rendering and the sound ones that are built from them, near or far."""
-    nodes, links = composition_graph(spark, sf_dir)
+    """Compositions without a rendering and those that are built from them, near or far, on cycles
+    too; the SQL below has sound ones only."""
+    _, links = composition_graph(spark, sf_dir)
     # A composition depends on its members, so the links are read from member to composition.
-    turned = cut(links.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-    spoilt = cut(spoilt_by_cycles(turned))
-    rows = table(spark, sf_dir, "composition_revisions").where("draft_id is not null and rendering is null").select(F.col("draft_id").alias("node")).distinct()
-    changed = rows.join(spoilt.select("node"), "node", "left_anti")
-    return integrity.stale(changed, descendants(full_paths(nodes, turned, spoilt)))
+    turned = links.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    changed = table(spark, sf_dir, "composition_revisions").where("draft_id is not null and rendering is null").select(F.col("draft_id").alias("node")).distinct()
+    return integrity.stale(changed, reachable(turned))
 
 
 def missing_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

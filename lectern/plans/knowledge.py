@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import count_tokens
 from lectern.operators import context, knowledge, ledger, questions, search
-from lectern.operators.hierarchy import full_paths, spoilt_by_cycles, squeeze
+from lectern.operators.hierarchy import reachable, squeeze
 from lectern.plans.outlines import _GRAPH, _SQUEEZE, composition_graph
 from lectern.plans.searching import _asked, _items
-from lectern.session import cut, table
+from lectern.session import table
 
 DIMENSIONS = ("documentary_scope", "target_type", "task", "semantic_kind", "abstraction", "subject_breadth")
 
@@ -70,11 +70,11 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statements that each sound composition rests on, through its compositions."""
+    """The statements that each composition rests on, through its compositions, which may lie on cycles;
+    the SQL below has sound compositions on the way only."""
     nodes, links = composition_graph(spark, sf_dir)
-    links = cut(links)
-    paths = full_paths(nodes, links, cut(spoilt_by_cycles(links)))
-    above = paths.select("node", F.explode("path").alias("composition")).distinct()
+    below = reachable(links).select(F.col("descendant").alias("node"), F.col("node").alias("composition"))
+    above = below.unionByName(nodes.select("node", F.col("node").alias("composition")))
     members = table(spark, sf_dir, "composition_revisions").select(F.col("draft_id").alias("node"), F.explode("members").alias("m"))
     statements = members.where(F.lower(squeeze(F.col("m.member_type"))) == "statement").select("node", F.col("m.draft_id").alias("statement")).distinct()
     return above.join(statements, "node").select("composition", "statement").distinct()

@@ -133,3 +133,23 @@ def test_descendants_of_and_through_spoilt_nodes(spark, tmp_path):
     ).selectExpr("*", "draft_id AS canonical_key").write.parquet(f"{tmp_path}/composition_revisions.parquet")
     got = {(r.node_id, r.descendant_id, r.distance) for r in p3_descendants(spark, str(tmp_path)).collect()}
     assert got == {("r", "a", 1), ("r", "b", 2), ("r", "x", 3), ("a", "b", 1), ("b", "a", 1), ("a", "x", 2), ("b", "x", 1), ("p", "q", 1), ("q", "p", 1)}
+
+
+def test_closure_and_staleness_pass_through_cycles(spark, tmp_path):
+    from lectern.plans.integrity import stale_compositions
+    from lectern.plans.knowledge import composition_closure
+
+    # r -> p <-> q -> s, r -> s's neighbour t; only s and q have statements, s and p no rendering
+    rows = [
+        ("r", [("composition", "p"), ("composition", "t")], "x"),
+        ("p", [("composition", "q")], None),
+        ("q", [("composition", "p"), (" Composition", "s"), ("statement", "2")], "x"),
+        ("s", [("Statement", "1")], None),
+        ("t", [], "x"),
+    ]
+    spark.createDataFrame(rows, "draft_id string, members array<struct<member_type string, draft_id string>>, rendering string").selectExpr(
+        "*", "draft_id AS canonical_key"
+    ).write.parquet(f"{tmp_path}/composition_revisions.parquet")
+    closure = [tuple(r) for r in composition_closure(spark, str(tmp_path)).select("composition", "statement").collect()]
+    assert sorted(closure) == [("p", "1"), ("p", "2"), ("q", "1"), ("q", "2"), ("r", "1"), ("r", "2"), ("s", "1")]
+    assert sorted(r.node for r in stale_compositions(spark, str(tmp_path)).collect()) == ["p", "q", "r", "s"]
