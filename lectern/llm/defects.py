@@ -11,7 +11,8 @@ refuses if all its sentences open like refusal templates.
 The other defects are tests of one pair: copies by comparing letters and digits, language by script
 and function words of the answer without its quotations, truncation by the end of the last line.
 Where a last line has no closing mark and may still be whole (lists and short answers), its last
-two or three words must end a sentence or an answer elsewhere in the corpus.
+two or three words must end a sentence or a short answer in other answers, in at least ``ENDS_SHARE``
+of all the answers that have them, those with the words inside a sentence included.
 
 Nulls: a null answer is ``empty``; a null or blank question gives no copy and no other language.
 Only rows with status succeeded or refused are pairs.  Repeated rows and earlier states count once,
@@ -20,10 +21,13 @@ by ``valid_turns``.  Empty input gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +39,11 @@ from lectern.session import cut, table
 
 #: Questions a template must recur in, its expected share of refused answers, and the evidence needed.
 QUESTIONS, REFUSED_SHARE, EVIDENCE = 3, 0.5, 3.0
-#: Times that other answers must end on the same words for an unmarked end to count as one.
-ENDINGS = 3
+#: The share of the other answers with the same words that must have them at an end, for an unmarked
+#: end to count as one.  Cuts fall on any word alike, so even phrases that often precede a cut stay far below.
+ENDS_SHARE = 0.01
+#: Cells by which the words looked for are sifted before they are joined.
+TAIL_CELLS = 1 << 20
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:['’][^\W_㐀-鿿]+)*")
 _CITATION = re.compile(r"\s*\[\^?[\w-]{1,12}\]")
@@ -135,11 +142,37 @@ def opening(sentence: str) -> str:
     return "".join(words[:8]) if 2 * wide > len(words[:8]) else " ".join(words[:5])
 
 
+def _counted(text: str) -> list[str]:
+    return ["#" if w.isdigit() else w for w in _WORD.findall(unicodedata.normalize("NFKC", text).lower())]
+
+
+def _last(words: list[str], end: int) -> list[str]:
+    wide = end > 0 and "㐀" <= words[end - 1] <= "鿿"
+    glue, long, brief = ("", 6, 4) if wide else (" ", 3, 2)
+    return [glue.join(words[max(0, end - long) : end]), glue.join(words[max(0, end - brief) : end])]
+
+
 def tails(text: str) -> list[str]:
     """The last three and the last two words (six and four wide characters); numbers as a sign."""
-    words = ["#" if w.isdigit() else w for w in _WORD.findall(unicodedata.normalize("NFKC", text).lower())]
-    wide = bool(words) and "㐀" <= words[-1] <= "鿿"
-    return ["".join(words[-6:]), "".join(words[-4:])] if wide else [" ".join(words[-3:]), " ".join(words[-2:])]
+    words = _counted(text)
+    return _last(words, len(words))
+
+
+def occurrences(answer: str, end: str) -> dict[str, tuple[bool, bool]]:
+    """The word groups of ``tails`` that an answer has: whether at an end and whether inside a sentence.
+
+    An unmarked end is one only in a short answer; elsewhere it may be a cut and says nothing."""
+    found: dict[str, tuple[bool, bool]] = {}
+    for part in sentences(answer):
+        words = _counted(part)
+        for k in range(1, len(words) + 1):
+            ended = k == len(words)
+            if ended and not (end == "short" or _CLOSED.search(part)):
+                continue
+            for tail in _last(words, k):
+                before = found.get(tail, (False, False))
+                found[tail] = (before[0] or ended, before[1] or not ended)
+    return found
 
 
 def unclosed(line: str) -> bool:
@@ -175,10 +208,15 @@ def ending(answer: str) -> str:
     return "open"
 
 
+def _key(answer: str) -> int:
+    """The same for answers of the same letters and digits."""
+    return int.from_bytes(hashlib.blake2b(_plain(answer).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 _TESTED = pa.schema(
-    [("turn_id", pa.string()), ("refused", pa.bool_()), ("asked", pa.int64()), ("defect", pa.string()), ("ending", pa.string()), ("tails", pa.list_(pa.string())), ("words", pa.int32()), ("openings", pa.list_(pa.string())), ("ends", pa.list_(pa.string()))]
+    [("turn_id", pa.string()), ("refused", pa.bool_()), ("asked", pa.int64()), ("defect", pa.string()), ("ending", pa.string()), ("tails", pa.list_(pa.string())), ("words", pa.int32()), ("openings", pa.list_(pa.string())), ("said", pa.int64())]
 )
-_TESTED_DDL = "turn_id string, refused boolean, asked bigint, defect string, ending string, tails array<string>, words int, openings array<string>, ends array<string>"
+_TESTED_DDL = "turn_id string, refused boolean, asked bigint, defect string, ending string, tails array<string>, words int, openings array<string>, said bigint"
 
 
 def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +224,7 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for turn, question, answer, refused, asked in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if not answer or not any(c.isalnum() for c in answer):
-                    yield turn, refused, asked, "empty", "closed", [], 0, [], []
+                    yield turn, refused, asked, "empty", "closed", [], 0, [], None
                     continue
                 question = question if question and any(c.isalnum() for c in question) else ""
                 parts = sentences(answer)
@@ -194,11 +232,8 @@ def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if question:
                     defect = "copy" if is_copy(question, answer) else "other_language" if speaks_otherwise(question, answer) else None
                 end = ending(answer)
-                marked = [t for x in parts if _CLOSED.search(x) for t in tails(x)]
-                if end == "short":
-                    marked += tails(answer)
                 words = _WORD.findall(answer)
-                yield turn, refused, asked, defect, end, tails(_CITATION.sub("", answer)), len(words), sorted({opening(x) for x in parts}), sorted(set(marked))
+                yield turn, refused, asked, defect, end, tails(_CITATION.sub("", answer)), len(words), sorted({opening(x) for x in parts}), _key(answer)
 
     return emit(rows(), _TESTED)
 
@@ -225,6 +260,42 @@ def refusal_openings(tested: DataFrame) -> DataFrame:
     return groups.join(chosen, "group", "left_semi").select("opening")
 
 
+_OCCURRENCES = pa.schema([("tail", pa.string()), ("said", pa.int64()), ("ended", pa.bool_())])
+
+
+def cut_short(answers: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """(turn_id) of ``doubtful(turn_id, said, tail)`` none of whose tails is at an end in ``ENDS_SHARE`` of
+    the other ``answers(answer)`` that have it.  Equal answers count once, and not for one another."""
+    spark = answers.sparkSession
+    looked_for = np.zeros(TAIL_CELLS, np.uint8)
+    cells = doubtful.select((F.crc32("tail") % TAIL_CELLS).alias("cell")).distinct().toArrow()
+    looked_for[cells.column(0).to_numpy()] = 1
+    shared = spark.sparkContext.broadcast(looked_for.tobytes())
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sought = shared.value
+
+        def out():
+            for batch in batches:
+                for answer in batch.column(0).to_pylist():
+                    if answer:
+                        key = _key(answer)
+                        for tail, (ended, _) in occurrences(answer, ending(answer)).items():
+                            if sought[zlib.crc32(tail.encode("utf-8", "surrogatepass")) % TAIL_CELLS]:
+                                yield tail, key, ended
+
+        return emit(out(), _OCCURRENCES)
+
+    met = answers.select("answer").mapInArrow(find, "tail string, said bigint, ended boolean")
+    met = cut(met.join(doubtful.select("tail").distinct(), "tail", "left_semi").groupBy("tail", "said").agg(F.max("ended").alias("ended")))
+    every = met.groupBy("tail").agg(F.count("*").alias("n"), F.count_if("ended").alias("ends"))
+    own = met.withColumn("own", F.lit(1)).withColumnRenamed("ended", "own_end")
+    n, ends = F.coalesce("n", F.lit(0)) - F.coalesce("own", F.lit(0)), F.coalesce("ends", F.lit(0)) - F.coalesce(F.col("own_end").cast("int"), F.lit(0))
+    share = F.when(n > 0, ends / n).otherwise(0.0)
+    rated = doubtful.join(every, "tail", "left").join(own, ["tail", "said"], "left").select("turn_id", share.alias("share"))
+    return rated.groupBy("turn_id").agg(F.max("share").alias("share")).where(F.col("share") < ENDS_SHARE).select("turn_id")
+
+
 def defective_pairs(turns: DataFrame) -> DataFrame:
     """(turn_id, defect): the first that applies of empty, refusal, copy, other_language, truncated."""
     small_batches(turns.sparkSession)
@@ -242,23 +313,10 @@ def defective_pairs(turns: DataFrame) -> DataFrame:
         .where("all = declining")
         .select("turn_id", F.lit(True).alias("refusal"))
     )
-    doubtful = tested.where("ending in ('list', 'short')").select("turn_id", F.explode("tails").alias("tail"), "ending", "words")
-    ends = (
-        tested.select(F.explode("ends").alias("tail"))
-        .join(doubtful.select("tail").distinct(), "tail", "left_semi")
-        .groupBy("tail")
-        .agg(F.count("*").alias("seen"))
-    )
     # A few words without a sentence around them (a name, a place, yes or no) are an answer.
     brief = (F.col("ending") == "short") & (F.col("words") <= 3)
-    cut_off = (
-        doubtful.where(~brief)
-        .join(ends, "tail", "left")
-        .groupBy("turn_id")
-        .agg(F.max(F.coalesce("seen", F.lit(0))).alias("seen"))
-        .where(F.col("seen") < ENDINGS)
-        .select("turn_id", F.lit(True).alias("cut_off"))
-    )
+    doubtful = tested.where(F.col("ending").isin("list", "short") & ~brief).select("turn_id", "said", F.explode("tails").alias("tail"))
+    cut_off = cut_short(rows, doubtful).withColumn("cut_off", F.lit(True))
     defect = (
         F.when(F.col("defect") == "empty", "empty")
         .when(F.col("refusal"), "refusal")

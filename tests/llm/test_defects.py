@@ -66,3 +66,22 @@ def test_empty_table_and_long_text(spark):
     assert d.defective_pairs(spark.createDataFrame([], TURNS)).count() == 0
     long = "The map shows the coast. " * 20000
     assert d.defective_pairs(spark.createDataFrame([("a", "Why is the map so long?", long, "succeeded", 1, "", "")], TURNS)).count() == 0
+
+
+def test_unmarked_ends_by_share_at_any_size(spark):
+    def found(times):
+        said = []
+        for k in range(20 * times):
+            said.append(f"The map number {k} shows the coast of the northern sea, and the clerk agrees.")
+        for k in range(2 * times):
+            said.append(f"Abschnitt {k + 3}, zweiter Absatz")
+        # cut-off answers, equal ones among them, do not vouch for themselves
+        said += ["The map number 7 shows the coast of the"] * 4 + ["The chart of old shows the coast of the"]
+        rows = [(f"t{k:04d}", f"What about topic {k}?", x, "succeeded", 1, "", "") for k, x in enumerate(said)]
+        got = {r.turn_id: r.defect for r in d.defective_pairs(spark.createDataFrame(rows, TURNS)).collect()}
+        return [(x, got[t]) for t, _, x, *_ in rows if t in got]
+
+    cut = [("The map number 7 shows the coast of the", "truncated")] * 4
+    small, large = found(1), found(20)
+    assert not any(x.startswith("Abschnitt") for x, _ in small + large)
+    assert large[:4] == cut and ("The chart of old shows the coast of the", "truncated") in large
