@@ -58,6 +58,7 @@ _UTF8_BYTES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|
 _TOKEN = re.compile(r"[^\s\x00-\x26\x28-\x3e\x40\x5b-\x60\x7b-\x7f]+")
 _WORDS = re.compile(r"[^\W\d_㐀-鿿]+")
 _WIDE = re.compile("[\u2e80-\ufaff\uff61-\uff9f]")
+_WORD_BEFORE, _WORD_AFTER = re.compile(r"[^\W\d_]*\Z"), re.compile(r"[^\W\d_]{0,40}")
 _UNFIT = re.compile("[\\x00\x80-\x9f]")
 _HIGH = re.compile(r"[^\x00-\x7f]")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
@@ -455,13 +456,16 @@ def _candidates(items: list[int], at: int) -> list[tuple[int, str]]:
     return out
 
 
-def viterbi(items: list[int], literal: dict[int, tuple[int, str]], left: str, model: Model, beam: int = 24) -> str:
+def viterbi(items: list[int], literal: dict[int, tuple[int, str]], left: str, model: Model, beam: int = 24, word: str = "", rest: str = "") -> str:
     """The likeliest reading of bytes, -1 for a lost one, after the text ``left``.
 
+    ``word`` and ``rest`` are the letters before and after that share a word with the bytes.  States keep the
+    word they are in, so that the readings left at the end are ranked by characters and words.
+
     Arcs are the UTF-8 characters that fit the bytes and, for stretches that are sound, the shown
     characters themselves (``literal``: place to next place and character); changing between the
     two costs ``SWITCH``."""
-    states: dict[int, dict[tuple[str, bool], tuple[float, tuple]]] = {0: {(("  " + left)[-2:], False): (0.0, ())}}
+    states: dict[int, dict[tuple[str, bool, str], tuple[float, tuple]]] = {0: {(("  " + left)[-2:], False, ""): (0.0, ())}}
     for at in range(len(items)):
         here = sorted(states.pop(at, {}).items(), key=lambda x: -x[1][0])[:beam]
         if not here:
@@ -472,26 +476,31 @@ def viterbi(items: list[int], literal: dict[int, tuple[int, str]], left: str, mo
         if not arcs:
             continue
         signs = np.array([ord(sign.lower()[:1]) for _, sign, _ in arcs], np.uint64)
-        lasts = np.array([[ord(c) for c in last.lower()[:2]] for (last, _), _ in here], np.uint64)
+        lasts = np.array([[ord(c) for c in last.lower()[:2]] for (last, _, _), _ in here], np.uint64)
         lines = np.column_stack([np.repeat(lasts, len(signs), 0), np.tile(signs, len(lasts))])
         gains = model.conditional(lines).reshape(len(lasts), len(signs))
-        for ((last, mode), (score, said)), row in zip(here, gains):
-            for (after, sign, garbled_arc), gain in zip(arcs, row):
+        letters = [bool(_WORDS.match(sign)) for _, sign, _ in arcs]
+        for ((last, mode, current), (score, said)), row in zip(here, gains):
+            for (after, sign, garbled_arc), gain, letter in zip(arcs, row, letters):
                 new = score + float(gain) - SWITCH * (mode != garbled_arc)
-                slot, key = states.setdefault(after, {}), ((last + sign)[-2:], garbled_arc)
+                slot, key = states.setdefault(after, {}), ((last + sign)[-2:], garbled_arc, current + sign if letter else "")
                 if key not in slot or slot[key][0] < new:
                     slot[key] = (new, (said, sign))
     ends = states.get(len(items))
     if not ends:
         return ""
-    said, out = max(ends.values(), key=lambda x: x[0])[1], []
-    while said:
-        said, sign = said
-        out.append(sign)
-    return "".join(reversed(out))
-
-
-def _read_lattice(run: str, left: str, read: str, model: Model) -> str:
+    readings = []
+    for _, said in ends.values():
+        out = []
+        while said:
+            said, sign = said
+            out.append(sign)
+        readings.append("".join(reversed(out)))
+    much = model.frequencies([word + x + rest for x in readings])
+    return max(zip(readings, ends.values(), much), key=lambda x: x[1][0] + x[2])[0]
+
+
+def _read_lattice(run: str, left: str, read: str, model: Model, word: str = "", rest: str = "") -> str:
     """A stretch with lost bytes as UTF-8 shown in ``read``; '' if no reading fits."""
     items: list[int] = []
     literal: dict[int, tuple[int, str]] = {}
@@ -503,7 +512,7 @@ def _read_lattice(run: str, left: str, read: str, model: Model) -> str:
             byte = _to_byte(read).get(ord(sign)) if read in ONE_BYTE else None
             items += (byte.encode("latin-1") if byte else _MANY[read][sign] if read in _MANY else b"") or b"\xff"
         literal[at] = (len(items), sign)
-    return viterbi(items, literal, left, model)
+    return viterbi(items, literal, left, model, word=word, rest=rest)
 
 
 def _lattices(text: str, reads: tuple[str, ...], model: Model) -> str:
@@ -514,8 +523,13 @@ def _lattices(text: str, reads: tuple[str, ...], model: Model) -> str:
         if len(old) < 2:
             continue
         lead = ("  " + left)[-2:]
-        best = max(((model.score(lead + new), new) for read in reads if (new := _read_lattice(old, left, read, model))), default=(0, ""))
-        if best[1] and best[0] > model.score(lead + old):
+        word, rest = _WORD_BEFORE.search(text, max(0, run.start() - 40), run.start()).group(), _WORD_AFTER.match(text, run.end()).group()
+
+        def fit(new: str) -> float:
+            return model.score(lead + new) + float(model.frequencies([word + new + rest])[0])
+
+        best = max(((fit(new), new) for read in reads if (new := _read_lattice(old, left, read, model, word, rest))), default=(0, ""))
+        if best[1] and best[0] > fit(old):
             out += [text[done : run.start()], best[1]]
             done = run.end()
     return "".join(out) + text[done:]

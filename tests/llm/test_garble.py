@@ -71,3 +71,12 @@ def test_empty_table_and_long_text(spark):
     assert g.garbled(df, bits=12).count() == 0
     long = spark.createDataFrame([(1, "café résumé " * 30000)], "doc_id bigint, text string")
     assert g.garbled(long, bits=12).count() == 0
+
+
+def test_lattice_prefers_words_to_likely_signs():
+    import numpy as np
+
+    sketch = np.zeros((3, 1 << 16), np.int64)
+    g._count_text(["\n".join(["le béret du port"] * 20 + ["la bête du port"] * 8)], 16, sketch)
+    # after " b" the corpus has é more often than ê, but "béte" is no word of it
+    assert g._lattices("la bÃ�te du port", ("cp1252",), g.Model(sketch)) == "la bête du port"
