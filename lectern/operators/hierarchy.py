@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut, is_empty
+from lectern.session import cut_counting, is_empty
 
 
 def clean_links(links: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
@@ -38,19 +38,25 @@ def known_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return links.join(parents, "parent", "left_semi").join(children, "child", "left_semi").select("parent", "child")
 
 
+def _doubled(pointers: DataFrame) -> tuple[DataFrame, int]:
+    """Pointers of twice the length and their number; upward walks that end are dropped."""
+    upper = pointers.select(F.col("node").alias("anc"), F.col("anc").alias("upper"))
+    longer, seen = cut_counting(pointers.join(upper, "anc").select("node", F.col("upper").alias("anc")).distinct(), rows=F.count(F.lit(1)))
+    return longer, seen["rows"]
+
+
 def unsettled(links: DataFrame) -> DataFrame:
     """The nodes on or below a cycle, with those of their pointers that never end.
 
     ``links`` must be clean.  Columns (node, anc): after the last round ``anc`` ranges over the
-    nodes reached by upward walks of one and the same length, longer than any simple path.
+    nodes reached by upward walks of one and the same length, longer than any path in what is settled.
     """
-    pointers = links.select(F.col("child").alias("node"), F.col("parent").alias("anc"))
-    rows, nodes = pointers.count(), None
+    pointers, seen = cut_counting(links.select(F.col("child").alias("node"), F.col("parent").alias("anc")), rows=F.count(F.lit(1)))
+    rows, nodes = seen["rows"], None
     while rows:
-        # Upward walks that end are dropped by the inner join; a node whose every walk ends goes.
-        upper = pointers.select(F.col("node").alias("anc"), F.col("anc").alias("upper"))
-        pointers = cut(pointers.join(upper, "anc").select("node", F.col("upper").alias("anc")).distinct())
-        rows, before = pointers.count(), rows
+        # A node whose every upward walk ends has no pointer left.
+        before = rows
+        pointers, rows = _doubled(pointers)
         # Nodes are counted only where few pointers went, and compared with the round before.
         left = pointers.select("node").distinct().count() if rows > 0.8 * before else None
         if left is not None and left == nodes:
@@ -67,123 +73,56 @@ def _far_ends(pointers: DataFrame) -> DataFrame:
     """
     before = pointers.select("anc").distinct().count()
     while True:
-        upper = pointers.select(F.col("node").alias("anc"), F.col("anc").alias("upper"))
-        pointers = cut(pointers.join(upper, "anc").select("node", F.col("upper").alias("anc")).distinct())
-        number = pointers.select("anc").distinct().count()
-        if number == before:
-            return pointers.select(F.col("anc").alias("node")).distinct()
-        before = number
-
-
-def _closed_walks(links: DataFrame, most: int = 64) -> DataFrame | None:
-    """(node): what can be reached from itself, by doubling the set of (source, node) reached.
-
-    None if the set outgrows ``most`` pairs a link, as in a large tangle of cycles."""
-    reach = links.select(F.col("parent").alias("source"), F.col("child").alias("node"))
-    before = first = reach.count()
-    while before <= most * first:
-        onward = reach.select(F.col("source").alias("node"), F.col("node").alias("far"))
-        reach = cut(reach.unionByName(reach.join(onward, "node").select("source", F.col("far").alias("node"))).distinct())
-        number = reach.count()
+        pointers, _ = _doubled(pointers)
+        ends = pointers.select(F.col("anc").alias("node")).distinct()
+        number = ends.count()
         if number == before:
-            return reach.where("source = node").select("node")
+            return ends
         before = number
-    return None
-
-
-def _spread(values: DataFrame, edges: DataFrame) -> DataFrame:
-    """``values(node, value)`` after each node took the greatest value that reaches it along
-    ``edges(source, node)``; one row per node throughout."""
-    while True:
-        pushed = edges.join(values.select(F.col("node").alias("source"), "value"), "source").select("node", "value", F.lit(None).alias("own"))
-        values = cut(
-            values.select("node", "value", F.col("value").alias("own"))
-            .unionByName(pushed)
-            .groupBy("node")
-            .agg(F.max("value").alias("value"), F.max("own").alias("own"))
-        )
-        if is_empty(values.where("value <> own")):
-            return values.select("node", "value")
-
-
-def _strong(links: DataFrame) -> DataFrame:
-    """Nodes in strongly connected sets of two or more, by colouring; (node).
-
-    Each pass spreads the greatest label that reaches a node down the links, then marks, upwards
-    within each colour, what reaches the label's owner: that is the owner's strong set.  All
-    states are one row per node.  Meant for the branching rest that the linear rule leaves.
-    """
-    found = None
-    edges = links
-    while not is_empty(edges):
-        nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-        colours = _spread(nodes.select("node", F.col("node").alias("value")), edges.select(F.col("parent").alias("source"), F.col("child").alias("node")))
-        inside = cut(
-            edges.join(colours.select(F.col("node").alias("parent"), "value"), "parent")
-            .join(colours.select(F.col("node").alias("child"), F.col("value").alias("other")), "child")
-            .where("value = other")
-            .select(F.col("child").alias("source"), F.col("parent").alias("node"))
-        )
-        marks = _spread(colours.select("node", (F.col("node") == F.col("value")).cast("int").alias("value")), inside)
-        members = cut(marks.where("value = 1").select("node").join(colours, "node"))
-        # One member alone is a cycle only through a self-link, which the caller handles.
-        sets = members.join(members.groupBy("value").count().where("count > 1").select("value"), "value", "left_semi").select("node")
-        found = sets if found is None else found.unionByName(sets)
-        gone = members.select("node")
-        edges = cut(
-            edges.join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti").join(
-                gone.withColumnRenamed("node", "child"), "child", "left_anti"
-            )
-        )
-    return found if found is not None else links.select(F.col("parent").alias("node")).limit(0)
 
 
 def spoilt_by_cycles(links: DataFrame) -> DataFrame:
     """(node, finding): ``on_cycle`` or ``below_cycle``, for every node that a cycle spoils.
 
-    Unsettled nodes come from pointer doubling.  Doubling on past their number, the pointers' far
-    ends are the nodes on cycles, and, only where cycles are linked to one another, the nodes of
-    the links between them.  Where every far end has one parent among the far ends there are no
-    such links and the far ends are the answer; else the pairs reached separate the two or, where
-    these are too many, colouring.
+    Unsettled nodes come from pointer doubling.  Doubling on, the pointers' far ends are the nodes
+    on cycles and those on links from one cycle to another; of these the nodes on cycles are the
+    ones that reach themselves.  Both steps double, so their rounds are logarithmic in the longest
+    way round a cycle, and the pairs held are among those that ``reachable`` returns.
     """
     pointers = unsettled(links)
     if is_empty(pointers):
         return links.select(F.col("child").alias("node"), F.lit("on_cycle").alias("finding")).limit(0)
     spoilt = pointers.select("node").distinct()
-    ends = cut(_far_ends(pointers))
+    ends = _far_ends(pointers)
     among = links.join(ends.withColumnRenamed("node", "parent"), "parent", "left_semi").join(
         ends.withColumnRenamed("node", "child"), "child", "left_semi"
     )
-    if is_empty(among.groupBy("child").count().where("count > 1")):
-        on_cycle = ends
-    else:
-        among = cut(among)
-        on_cycle = _closed_walks(among)
-        if on_cycle is None:
-            loops = among.where("parent = child").select(F.col("parent").alias("node"))
-            on_cycle = _strong(cut(among.where("parent <> child"))).union(loops).distinct()
+    loops = among.where("parent = child").select(F.col("parent").alias("node"))
+    pairs = reachable(among)
+    mutual = pairs.select("node", "descendant").join(pairs.select(F.col("descendant").alias("node"), F.col("node").alias("descendant")), ["node", "descendant"], "left_semi")
+    on_cycle = loops.unionByName(mutual.select("node")).distinct()
     return spoilt.join(on_cycle.withColumn("hit", F.lit(True)), "node", "left").select(
         "node", F.when(F.col("hit"), "on_cycle").otherwise("below_cycle").alias("finding")
     )
 
 
-def full_paths(nodes: DataFrame, links: DataFrame, spoilt: DataFrame) -> DataFrame:
-    """Every path from a root down to each node that no cycle spoils.
+def full_paths(nodes: DataFrame, links: DataFrame, barred: DataFrame) -> DataFrame:
+    """Every path from a root down to each node that leads through no node of ``barred(node)``.
 
     ``nodes(node, label)``; columns out: node, root, depth (root = 0), path (node ids) and labels,
-    from the root to the node itself.  A node with several parents has one row for each path.
+    from the root to the node itself.  A node with several parents has one row for each path; one
+    that only barred nodes lead to has none.  What is left of the links must be free of cycles, as
+    it is where the nodes on cycles, or all spoilt nodes, are barred.
     """
-    sound = nodes.join(spoilt.select("node"), "node", "left_anti")
-    usable = links.join(sound.select(F.col("node").alias("child")), "child", "left_semi")
-    start = sound.join(usable.withColumnRenamed("child", "node"), "node", "left").select(
-        "node",
-        F.col("parent").alias("anc"),
-        F.array("node").alias("path"),
-        F.array(F.coalesce("label", F.lit(""))).alias("labels"),
-    )
-    state = cut(start)
-    while not is_empty(state.where("anc is not null")):
+    allowed = nodes.join(barred.select("node"), "node", "left_anti")
+    ids = allowed.select("node")
+    usable = links.join(ids.withColumnRenamed("node", "child"), "child", "left_semi").join(ids.withColumnRenamed("node", "parent"), "parent", "left_semi")
+    roots = allowed.join(links.select(F.col("child").alias("node")).distinct(), "node", "left_anti").withColumn("anc", F.lit(None).cast(allowed.schema["node"].dataType))
+    below = allowed.join(usable.select(F.col("child").alias("node"), F.col("parent").alias("anc")), "node")
+    start = roots.select("node", "anc", "label").unionByName(below.select("node", "anc", "label"))
+    open_ones = F.count("anc")
+    state, seen = cut_counting(start.select("node", "anc", F.array("node").alias("path"), F.array(F.coalesce("label", F.lit(""))).alias("labels")), open=open_ones)
+    while seen["open"]:
         upper = state.select(
             F.col("node").alias("anc"), F.col("anc").alias("up"), F.col("path").alias("above"), F.col("labels").alias("titles")
         )
@@ -192,7 +131,7 @@ def full_paths(nodes: DataFrame, links: DataFrame, spoilt: DataFrame) -> DataFra
             .join(upper, "anc")
             .select("node", F.col("up").alias("anc"), F.concat("above", "path").alias("path"), F.concat("titles", "labels").alias("labels"))
         )
-        state = cut(state.where("anc is null").unionByName(jumped))
+        state, seen = cut_counting(state.where("anc is null").unionByName(jumped), open=open_ones)
     return state.select("node", F.col("path")[0].alias("root"), (F.size("path") - 1).alias("depth"), "path", "labels")
 
 
@@ -213,18 +152,17 @@ def reachable(links: DataFrame) -> DataFrame:
     links starts with one of exactly 2^k links, so each round joins just those pairs with all the
     pairs known, and no such pair left means that all are found.
     """
-    pairs = cut(
-        links.where("parent <> child").select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
-    )
+    count = {"most": F.max("distance")}
+    first = links.where("parent <> child").select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance"))
+    pairs, seen = cut_counting(first, **count)
     length = 1
-    while True:
+    while seen["most"] == length:
         edge = pairs.where(F.col("distance") == length)
-        if is_empty(edge):
-            return pairs
         onward = pairs.select(F.col("node").alias("descendant"), F.col("descendant").alias("far"), F.col("distance").alias("more"))
         further = edge.join(onward, "descendant").where("node <> far").select("node", F.col("far").alias("descendant"), (F.col("distance") + F.col("more")).alias("distance"))
-        pairs = cut(pairs.unionByName(further).groupBy("node", "descendant").agg(F.min("distance").alias("distance")))
+        pairs, seen = cut_counting(pairs.unionByName(further).groupBy("node", "descendant").agg(F.min("distance").alias("distance")), **count)
         length *= 2
+    return pairs
 
 
 def squeeze(column):

@@ -41,8 +41,7 @@ def citation_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stale_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Compositions without a rendering and those that are built from them, near or far, on cycles
-    too; the SQL below has sound ones only."""
+    """Compositions without a rendering and those that are built from them, near or far, on cycles too."""
     _, links = composition_graph(spark, sf_dir)
     # A composition depends on its members, so the links are read from member to composition.
     turned = links.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
@@ -84,13 +83,8 @@ h AS (SELECT turn_id, count(DISTINCT evidence_revision_id) AS held FROM retrieve
 SELECT turn_id, number, number BETWEEN 1 AND coalesce(held, 0) AS known FROM c LEFT JOIN h USING (turn_id)""",
     "stale_compositions": _GRAPH
     + """
-, top AS (SELECT DISTINCT draft_id AS node FROM composition_revisions WHERE draft_id IS NOT NULL AND rendering IS NULL),
-up AS (
-  SELECT parent, child FROM link WHERE record = 'composition'),
-cycle AS (SELECT DISTINCT a AS node FROM reach WHERE record = 'composition' AND a = b),
-bad AS (SELECT node FROM cycle UNION SELECT DISTINCT r.a FROM reach r JOIN cycle c ON c.node = r.b WHERE r.record = 'composition'),
-good AS (SELECT node FROM top WHERE node NOT IN (SELECT node FROM bad))
-SELECT node FROM good UNION SELECT DISTINCT r.a FROM reach r JOIN good g ON g.node = r.b WHERE r.record = 'composition' AND r.a NOT IN (SELECT node FROM bad)""",
+, top AS (SELECT DISTINCT draft_id AS node FROM composition_revisions WHERE draft_id IS NOT NULL AND rendering IS NULL)
+SELECT node FROM top UNION SELECT r.a FROM reach r JOIN top t ON t.node = r.b WHERE r.record = 'composition'""",
     "missing_turns": """
 WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, conversation_id DESC NULLS LAST, turn_no DESC NULLS LAST) AS rn FROM chat_turns WHERE id IS NOT NULL) WHERE rn = 1 AND conversation_id IS NOT NULL AND turn_no > 0)
 SELECT conversation_id, turn_no FROM (SELECT conversation_id, CAST(unnest(range(1, max(turn_no) + 1)) AS INTEGER) AS turn_no FROM t GROUP BY 1)

@@ -70,8 +70,7 @@ def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def composition_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The statements that each composition rests on, through its compositions, which may lie on cycles;
-    the SQL below has sound compositions on the way only."""
+    """The statements that each composition rests on, through its compositions, which may lie on cycles."""
     nodes, links = composition_graph(spark, sf_dir)
     below = reachable(links).select(F.col("descendant").alias("node"), F.col("node").alias("composition"))
     above = below.unionByName(nodes.select("node", F.col("node").alias("composition")))
@@ -212,7 +211,7 @@ w AS (SELECT turn_id, id, place, list_filter(t, lambda x: NOT list_contains({_NE
 SELECT a.turn_id, a.id AS a, b.id AS b FROM w a JOIN w b ON a.turn_id = b.turn_id AND a.place < b.place AND a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 3""",
     "composition_closure": _GRAPH
     + f"""
-SELECT DISTINCT p.composition, m.m.draft_id AS statement FROM (SELECT node, unnest(ids) AS composition FROM path WHERE record = 'composition') p
+SELECT DISTINCT p.composition, m.m.draft_id AS statement FROM (SELECT a AS composition, b AS node FROM reach WHERE record = 'composition' UNION SELECT node, node FROM cnode) p
 JOIN cmem m ON m.parent = p.node WHERE lower({_SQUEEZE.format('m.m.member_type')}) = 'statement'""",
     "grounding_fidelity": f"""
 WITH {_TURN},

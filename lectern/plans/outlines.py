@@ -9,45 +9,61 @@ from lectern.operators.hierarchy import clean_links, full_paths, known_links, re
 from lectern.session import cut, table
 
 
+def _outline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, label, breadcrumb, parent, children) of source_nodes, repeated rows once."""
+    rows = table(spark, sf_dir, "source_nodes").where("node_id is not null")
+    return rows.select(F.col("node_id").alias("node"), F.coalesce(squeeze(F.col("title")), F.lit("")).alias("label"), "breadcrumb", F.col("parent_id").alias("parent"), "children").distinct()
+
+
+def _composition_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, label, children) of composition_revisions; statements are no children."""
+    rows = table(spark, sf_dir, "composition_revisions").where("draft_id is not null")
+    below = F.filter("members", lambda m: F.lower(squeeze(m["member_type"])) == "composition")
+    return rows.select(F.col("draft_id").alias("node"), F.col("canonical_key").alias("label"), F.transform(below, lambda m: m["draft_id"]).alias("children")).distinct()
+
+
+def _graph(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (node, label) and links of rows (node, label, children) with or without ``parent``.
+
+    One end of a link is the row itself, so only the other is looked up among the nodes."""
+    nodes = rows.groupBy("node").agg(F.min("label").alias("label"))
+    said = F.transform(F.coalesce("children", F.array()), lambda c: F.struct(c.alias("other"), F.lit(True).alias("down")))
+    if "parent" in rows.columns:
+        said = F.concat(said, F.array(F.struct(F.col("parent").alias("other"), F.lit(False).alias("down"))))
+    ends = rows.select("node", F.inline(said)).where("other is not null").distinct()
+    ends = ends.join(nodes.select(F.col("node").alias("other")), "other", "left_semi")
+    parent, child = F.when(F.col("down"), F.col("node")).otherwise(F.col("other")), F.when(F.col("down"), F.col("other")).otherwise(F.col("node"))
+    return nodes, clean_links(ends.select(parent.alias("parent"), child.alias("child")))
+
+
 def outline_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes (node, label), their breadcrumbs (node, breadcrumb) and links of source_nodes.
 
     A link is recorded by the parent's ``children``, the child's ``parent_id`` or both."""
-    rows = table(spark, sf_dir, "source_nodes").select(F.col("node_id").alias("node"), "parent_id", "title", "breadcrumb", "children").where("node is not null")
-    nodes = rows.groupBy("node").agg(F.min(F.coalesce(squeeze(F.col("title")), F.lit(""))).alias("label"))
-    down = rows.select(F.col("node").alias("parent"), F.explode("children").alias("child"))
-    up = rows.select(F.col("parent_id").alias("parent"), F.col("node").alias("child"))
-    return nodes, rows.select("node", "breadcrumb").distinct(), known_links(clean_links(down.union(up)), nodes)
+    rows = _outline_rows(spark, sf_dir)
+    nodes, links = _graph(rows)
+    return nodes, rows.select("node", "breadcrumb").distinct(), links
 
 
 def composition_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes (node, label) and links of composition_revisions; statements are no nodes."""
-    rows = table(spark, sf_dir, "composition_revisions").select(F.col("draft_id").alias("node"), "canonical_key", "members").where("node is not null")
-    nodes = rows.groupBy("node").agg(F.min("canonical_key").alias("label"))
-    member = rows.select("node", F.explode("members").alias("m")).where(F.lower(squeeze(F.col("m.member_type"))) == "composition")
-    links = clean_links(member.select(F.col("node").alias("parent"), F.col("m.draft_id").alias("child")))
-    return nodes, known_links(links, nodes)
+    return _graph(_composition_rows(spark, sf_dir))
 
 
-def _links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Both graphs as one, so that every doubling round serves both: nodes, links and the outline's
-    breadcrumbs, each node a struct (record, id)."""
-    outline, crumbs, outline_links = outline_graph(spark, sf_dir)
-    compositions, composition_links = composition_graph(spark, sf_dir)
-
-    def tag(df: DataFrame, record: str, *columns: str) -> DataFrame:
-        return df.withColumns({c: F.struct(F.lit(record).alias("record"), F.col(c).alias("id")) for c in columns})
-
-    nodes = tag(outline, "outline", "node").unionByName(tag(compositions, "composition", "node"))
-    ends = ("parent", "child")
-    links = cut(tag(outline_links, "outline", *ends).unionByName(tag(composition_links, "composition", *ends)))
-    return nodes, links, tag(crumbs, "outline", "node")
+    breadcrumbs, each node a struct (record, id).  The tables are read once."""
+    outline, composition = _outline_rows(spark, sf_dir), _composition_rows(spark, sf_dir)
+    missing = composition.withColumns({"breadcrumb": F.lit(None).cast("array<string>"), "parent": F.lit(None).cast("string")})
 
+    def tagged(df: DataFrame, record: str) -> DataFrame:
+        name = lambda c: F.when(c.isNotNull(), F.struct(F.lit(record).alias("record"), c.alias("id")))
+        children = F.transform("children", lambda c: name(c))
+        return df.select(name(F.col("node")).alias("node"), "label", "breadcrumb", name(F.col("parent")).alias("parent"), children.alias("children"))
 
-def _forest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Nodes, links, the spoilt and the breadcrumbs of ``_links``."""
-    nodes, links, crumbs = _links(spark, sf_dir)
-    return nodes, links, cut(spoilt_by_cycles(links)), crumbs
+    rows = cut(tagged(outline, "outline").unionByName(tagged(missing, "composition")))
+    nodes, links = _graph(rows)
+    return nodes, cut(links), rows.select("node", "breadcrumb")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +71,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A breadcrumb is wrong if it is neither null nor empty and equals none of the node's paths of
     titles after normalising white space; a null title or element counts as an empty one."""
-    nodes, links, spoilt, crumbs = _forest(spark, sf_dir)
+    nodes, links, crumbs = _forest(spark, sf_dir)
+    spoilt = cut(spoilt_by_cycles(links))
     given = crumbs.where(F.size("breadcrumb") > 0).select(
         "node", F.transform("breadcrumb", lambda x: F.coalesce(squeeze(x), F.lit(""))).alias("given")
     )
@@ -67,9 +84,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per path: record, node_id, root_id, depth, path (ids) and path_text (titles)."""
-    nodes, links, spoilt, _ = _forest(spark, sf_dir)
-    return full_paths(nodes, links, spoilt).select(
+    """One row per path: record, node_id, root_id, depth, path (ids) and path_text (titles).
+
+    Paths lead through no node on a cycle; a node below a cycle has those from its sound roots."""
+    nodes, links, _ = _forest(spark, sf_dir)
+    return full_paths(nodes, links, cut(spoilt_by_cycles(links).where("finding = 'on_cycle'"))).select(
         "node.record",
         F.col("node.id").alias("node_id"),
         F.col("root.id").alias("root_id"),
@@ -80,9 +99,8 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(record, node_id, descendant_id, distance) for all nodes, on and below cycles too; the SQL
-    below has the nodes that no cycle spoils only."""
-    _, links, _ = _links(spark, sf_dir)
+    """(record, node_id, descendant_id, distance) for all nodes, on and below cycles too."""
+    _, links, _ = _forest(spark, sf_dir)
     return reachable(links).select(
         "node.record", F.col("node.id").alias("node_id"), F.col("descendant.id").alias("descendant_id"), "distance"
     )
@@ -114,34 +132,42 @@ spoilt AS (
   SELECT record, node, 'on_cycle' AS finding FROM cyc
   UNION ALL
   SELECT DISTINCT r.record, r.b, 'below_cycle' FROM reach r JOIN cyc c ON c.record = r.record AND c.node = r.a
-  WHERE NOT EXISTS (SELECT 1 FROM cyc x WHERE x.record = r.record AND x.node = r.b)),
+  WHERE NOT EXISTS (SELECT 1 FROM cyc x WHERE x.record = r.record AND x.node = r.b))"""
+
+_PATH = """,
 path AS (
   SELECT n.record, n.node, n.node AS root, 0 AS depth, [n.node] AS ids, [n.label] AS labels FROM node n
   WHERE NOT EXISTS (SELECT 1 FROM link l WHERE l.record = n.record AND l.child = n.node)
   UNION ALL
   SELECT p.record, n.node, p.root, p.depth + 1, list_append(p.ids, n.node), list_append(p.labels, n.label)
   FROM path p JOIN link l ON l.record = p.record AND l.parent = p.node JOIN node n ON n.record = l.record AND n.node = l.child
-  WHERE NOT EXISTS (SELECT 1 FROM spoilt s WHERE s.record = n.record AND s.node = n.node))
+  WHERE NOT EXISTS (SELECT 1 FROM cyc c WHERE c.record = n.record AND c.node = n.node))
 """
 
 ORACLE = {
     "p3_found": _GRAPH
+    + _PATH
     + f"""
 SELECT record, node AS node_id, finding FROM spoilt
 UNION ALL
 SELECT 'outline', node, 'wrong_breadcrumb' FROM (
   SELECT p.node, g.given, max(CASE WHEN p.labels = g.given THEN 1 ELSE 0 END) AS hit
-  FROM (SELECT * FROM path WHERE record = 'outline') p
+  FROM (SELECT * FROM path p WHERE record = 'outline' AND NOT EXISTS (SELECT 1 FROM spoilt s WHERE s.record = p.record AND s.node = p.node)) p
   JOIN (SELECT DISTINCT node_id, list_transform(breadcrumb, lambda x: coalesce({_SQUEEZE.format('x')}, '')) AS given
         FROM source_nodes WHERE len(breadcrumb) > 0) g ON g.node_id = p.node
   GROUP BY 1, 2) WHERE hit = 0 GROUP BY node""",
     "p3_paths": _GRAPH
+    + _PATH
     + """
 SELECT record, node AS node_id, root AS root_id, depth, array_to_string(ids, ' / ') AS path, array_to_string(labels, ' / ') AS path_text
 FROM path""",
     "p3_descendants": _GRAPH
-    + """
-SELECT record, node_id, descendant_id, CAST(min(distance) AS INTEGER) AS distance FROM (
-  SELECT record, unnest(ids) AS node_id, node AS descendant_id, depth + 1 - unnest(generate_series(1, depth + 1)) AS distance FROM path)
-WHERE node_id <> descendant_id GROUP BY 1, 2, 3""",
+    + """,
+near AS (
+  SELECT record, parent AS a, child AS b, 1 AS distance FROM link WHERE parent <> child),
+walk(record, a, b, distance) USING KEY (record, a, b) AS (
+  SELECT * FROM near
+  UNION SELECT w.record, w.a, n.b, w.distance + 1 FROM walk w JOIN near n ON n.record = w.record AND n.a = w.b
+  LEFT JOIN recurring.walk x ON x.record = w.record AND x.a = w.a AND x.b = n.b WHERE x.a IS NULL AND w.a <> n.b)
+SELECT record, a AS node_id, b AS descendant_id, distance FROM walk""",
 }

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -17,6 +19,7 @@ def build_session(app: str = "lectern", cpus: int | str = "*", partitions: int =
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -40,6 +43,7 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
     context.setCheckpointDir(shared)
 
 
@@ -59,6 +63,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """``cut(df)`` and aggregates over its rows, taken by the job that writes them."""
+    seen = Observation()
+    kept = cut(df.observe(seen, *(c.alias(name) for name, c in counts.items())))
+    return kept, {name: seen.get[name] or 0 for name in counts}
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

@@ -95,14 +95,23 @@ def test_squeeze_knows_the_ideographic_space(spark):
     assert df.select(h.squeeze(df.t)).first()[0] == "a b"
 
 
-def test_tangles_by_colouring(spark, monkeypatch):
-    whole = h._closed_walks
-    monkeypatch.setattr(h, "_closed_walks", lambda links: whole(links, most=0))
+def test_tangled_cycles(spark):
     edges = [("a", "b"), ("b", "a"), ("b", "x"), ("x", "c"), ("c", "d"), ("d", "c"), ("a", "d"), ("d", "z"), ("s", "s"), ("s", "a")]
     _, links = graph(spark, edges)
     assert findings(links) == brute(edges)
 
 
+def test_nodes_below_a_cycle_keep_their_sound_roots(spark):
+    # the cycle y, z leads to b too, but a and x are sound and reach b and c
+    nodes, links = graph(spark, [("a", "b"), ("x", "b"), ("b", "c"), ("y", "z"), ("z", "y"), ("z", "b"), ("z", "w")])
+    spoilt = h.spoilt_by_cycles(links)
+    assert findings(links) == {"y": "on_cycle", "z": "on_cycle", "b": "below_cycle", "c": "below_cycle", "w": "below_cycle"}
+    paths = h.full_paths(nodes, links, spoilt.where("finding = 'on_cycle'")).collect()
+    assert sorted("".join(r.path) for r in paths) == ["a", "ab", "abc", "x", "xb", "xbc"]
+    pairs = {(r.node, r.descendant) for r in h.reachable(links).collect()}
+    assert {("a", "b"), ("a", "c"), ("x", "b"), ("x", "c"), ("y", "c"), ("y", "w")} <= pairs and ("a", "w") not in pairs
+
+
 def test_cycles_cut_off_no_descendants(spark):
     # a sound root above a cycle, what hangs below it, a shortcut, a long chain into a second cycle
     edges = [("r", "a"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("r", "e"), ("q", "q"), ("q", "p"), ("r", "c00")]
