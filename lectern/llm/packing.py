@@ -109,7 +109,8 @@ def pack(items: DataFrame, capacities: dict[str, int], partitions: int | None =
         F.least("capacity", F.col("size") - F.col("piece") * F.col("capacity")).alias("tokens"),
     )
     parts = cut(parts)
-    full = parts.where("tokens = capacity").withColumn("container_id", F.concat_ws("-", "container_kind", F.lit("full"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "piece"))
+    # Rows are numbered, for items may share an id and no two pieces a full container.
+    full = parts.where("tokens = capacity").withColumn("container_id", F.concat_ws("-", "container_kind", F.lit("full"), F.monotonically_increasing_id()))
     number = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     spread = F.xxhash64("doc_id", "container_kind")
     placed = cut(
@@ -151,5 +152,26 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p6_assignment": p6_assignment, "p6_fill": p6_fill}
-ORACLE: dict[str, str] = {}
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(check, violations): what the assignment must keep, counted over all of it."""
+    capacities = {r.container_kind: r.capacity_tokens for r in table(spark, sf_dir, "containers").collect()}
+    sizes = cut(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "tokens"))
+    placed = cut(pack(sizes, capacities))
+    full = placed.groupBy("container_kind", "container_id", "capacity").agg(F.sum("tokens").alias("used"))
+    each = placed.groupBy("container_kind", "capacity", "doc_id").agg(F.sum("tokens").alias("got"), F.count("*").alias("pieces"))
+    both = each.join(sizes, "doc_id")
+    loose = full.groupBy("container_kind", "capacity").agg((F.sum("used") / (F.count("*") * F.first("capacity"))).alias("fill")).where("fill < 0.95")
+    kinds = len([c for c in capacities.values() if c and c > 0])
+    lost = sizes.agg(F.count("*").alias("n")).join(each.agg(F.count("*").alias("m"))).where(F.col("n") * kinds != F.col("m"))
+    checks = {"container over its capacity": full.where("used > capacity"), "document with tokens lost": both.where("got <> tokens"), "document split below the capacity": both.where("pieces > 1 and tokens <= capacity"), "documents missing": lost, "kind filled below 95 %": loose}
+    out = None
+    for name, rows in checks.items():
+        part = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+QUERIES = {"p6_assignment": p6_assignment, "p6_fill": p6_fill, "p6_checks": p6_checks}
+ORACLE: dict[str, str] = {
+    "p6_checks": """SELECT * FROM (VALUES ('container over its capacity', 0::BIGINT), ('document with tokens lost', 0), ('document split below the capacity', 0), ('documents missing', 0), ('kind filled below 95 %', 0)) AS t("check", violations)""",
+}

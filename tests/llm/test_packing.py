@@ -11,7 +11,7 @@ ITEMS = "doc_id bigint, tokens bigint, container_id string, left bigint"
 
 def test_everything_is_placed_once_and_nothing_overflows(spark):
     dice = random.Random(4)
-    rows = [(k, dice.choice([0, 3, 40, 90, 100, 101, 250, 1000]), "x", 1) for k in range(400)] + [(None, 7, "x", 1), (5, 40, "x", 1), (6, None, "x", 1)]
+    rows = [(k, dice.choice([0, 3, 40, 90, 100, 101, 250, 1000]), "x", 1) for k in range(400)] + [(7000, 300, "x", 1)] * 2 + [(None, 7, "x", 1), (5, 40, "x", 1), (6, None, "x", 1)]
     df = spark.createDataFrame(rows, ITEMS)
     out = packing.pack(df, {"a": 100, "b": 300, "none": 0}, partitions=5).cache()
     sizes = df.groupBy("doc_id").agg(F.sum("tokens").alias("want"))
@@ -47,11 +47,48 @@ def test_token_sizes(spark):
 
 
 def test_slots_meet_shares_and_caps():
-    totals = mixing.slot_totals({"a": 100, "b": 50, "c": 0}, {"a": (0.5, 2), "b": (0.5, 1), "c": (0.2, 9), "d": (None, 1)})
+    totals = mixing.slot_totals({"a": 51200, "b": 25600, "c": 0}, {"a": (0.5, 2), "b": (0.5, 1), "c": (0.2, 9), "d": (None, 1)})
     assert totals == {"a": 50, "b": 50}
-    draws = mixing.shard_counts(totals, shard=16)
-    assert sum(d[3] for d in draws) == 100 and all(sum(d[3] for d in draws if d[0] == s) in (16, 4) for s in {d[0] for d in draws})
-    assert mixing.slot_totals({}, {"a": (1.0, 1)}) == {} and mixing.shard_counts({}) == []
+    # 513 tokens are two blocks of 256 or 257, not one of 512 and one of 1
+    assert mixing.slot_totals({"a": 513, "b": 10**6}, {"a": (0.1, 3), "b": (0.9, 1)}) == {"a": 6, "b": 27}
+    assert mixing.slot_totals({}, {"a": (1.0, 1)}) == {}
+
+
+def test_shards_are_drawn_alike_in_any_range(monkeypatch):
+    totals = [700, 12, 0, 31]
+    whole = list(mixing.shard_counts(totals, 0, 10**9, shard=16))
+    shards = mixing.shards_of(totals, 16)
+    assert shards == -(-743 // 16) and {d[0] for d in whole} == set(range(shards))
+    assert [d for k in range(0, shards, 7) for d in mixing.shard_counts(totals, k, k + 7, shard=16)] == whole
+    for k, total in enumerate(totals):
+        mine = [d for d in whole if d[1] == k]
+        assert sum(d[3] for d in mine) == total
+        assert all(a[2] + a[3] == b[2] for a, b in zip(mine, mine[1:]))
+    assert all(sum(d[3] for d in whole if d[0] == s) == 16 for s in range(shards - 1))
+    assert len({d[3] for d in whole if d[1] == 1}) > 1 or len([d for d in whole if d[1] == 1]) < shards
+    monkeypatch.setattr(mixing, "STRATUM", 100)
+    parts = list(mixing.shard_counts(totals, 0, 10**9, shard=16))
+    assert [sum(d[3] for d in parts if d[1] == k) for k in range(4)] == totals
+
+
+def test_blocks_are_equal_and_hold_every_token_once(spark):
+    dice = random.Random(8)
+    rows, start = [], 0
+    for k in range(60):
+        size = dice.randrange(1, 90)
+        rows.append(("s", k, start, size))
+        start += size
+    records = spark.createDataFrame(rows, "source_name string, doc_id bigint, start bigint, tokens bigint")
+    for block in (7, 100, 10**6):
+        sizes = spark.createDataFrame([("s", start, mixing.blocks_of(start, block))], "source_name string, total bigint, blocks bigint")
+        pieces = mixing.in_blocks(records, sizes)
+        assert sorted((r.doc_id, r.n) for r in pieces.groupBy("doc_id").agg(F.sum("part").alias("n")).collect()) == [(k, n) for _, k, _, n in rows]
+        held = [r.n for r in pieces.groupBy("block").agg(F.sum("part").alias("n")).collect()]
+        assert len(held) == mixing.blocks_of(start, block) and max(held) - min(held) <= 1
+    # no overflow far out in a stream
+    far = spark.createDataFrame([("s", 1, 9 * 10**14, 600)], "source_name string, doc_id bigint, start bigint, tokens bigint")
+    sizes = spark.createDataFrame([("s", 10**15, 10**15 // 512)], "source_name string, total bigint, blocks bigint")
+    assert mixing.in_blocks(far, sizes).agg(F.sum("part")).first()[0] == 600
 
 
 def test_permutations_use_every_block_once(spark):
