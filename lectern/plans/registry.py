@@ -12,7 +12,7 @@ MODULES = (searching, passages, knowledge, integrity, operations, outlines)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return searching.local_rerank(spark, sf_dir)
+    return searching.hybrid_rerank(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -20,18 +20,18 @@ def _asked(items: DataFrame) -> DataFrame:
 
 
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.document_frequency(search.postings(_items(spark, sf_dir)))
+    return search.document_frequency(_items(spark, sf_dir))
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    return search.lexical_search(items, _asked(items))
+    return search.lexical_search(items, _asked(items), tie="chapter")
 
 
 def lexical_topk_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``lexical_topk``, only among documents of the question's chapter."""
+    """As ``lexical_topk``, only among documents of the question's chapter, if it has one."""
     items = _items(spark, sf_dir)
-    return search.lexical_search(items, _asked(items), same="chapter")
+    return search.lexical_search(items, _asked(items), same="chapter", tie="chapter")
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -45,49 +45,91 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_topk_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As ``vector_topk``, only among vectors of the question's label."""
-    return search.vector_search(*_vectors(spark, sf_dir), k=10, filter_column="label")
+    items, asked = _vectors(spark, sf_dir)
+    return search.vector_search(items, asked.withColumn("labels", F.array("label")), k=10, tag="label", tags="labels")
 
 
-def _set_scores(items: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) by set cosine, through an inverted index of tokens."""
-    held = items.select("id", token_set(F.col("text")).alias("t"))
-    q = asked.select("query_id", token_set(F.col("text")).alias("t"))
-    pairs = q.select("query_id", F.size("t").alias("qn"), F.explode("t").alias("token")).join(
-        held.select("id", F.size("t").alias("n"), F.explode("t").alias("token")), "token"
-    )
-    return pairs.groupBy("query_id", "id", "qn", "n").agg(F.count("*").alias("both")).select("query_id", "id", F.round(F.col("both") / F.sqrt(F.col("qn") * F.col("n")), 6).alias("score"))
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 nearest vectors, the most a search returns, among those of a set of labels, the set being
+    the question's own: its label, the next and the one after."""
+    items, asked = _vectors(spark, sf_dir)
+    return search.vector_search(items, asked.withColumn("labels", F.array("label", F.col("label") + 1, F.col("label") + 2)), k=12, tag="label", tags="labels")
+
+
+def vector_topk_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``vector_topk`` through an index of cells, with a recall of 0.9 or more."""
+    items, asked = _vectors(spark, sf_dir)
+    index = search.CellIndex(items)
+    return index.search(index.assign(items), asked)
+
+
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(queries, enough): whether ``vector_topk_indexed`` finds 0.9 of what ``vector_topk`` finds."""
+    exact, near = vector_topk(spark, sf_dir), vector_topk_indexed(spark, sf_dir).select("query_id", "id", F.lit(1).alias("hit"))
+    return exact.join(near, ["query_id", "id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 def set_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
-    return search.top(_set_scores(items, _asked(items)), "query_id", 8, F.desc("score"), "id")
+    return search.set_search(items, _asked(items))
 
 
-def _lists(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _lists(spark: SparkSession, sf_dir: str, depth: int) -> tuple[DataFrame, DataFrame]:
     items = _items(spark, sf_dir)
     keys = items.select("id", F.sha2("text", 256).alias("key"))
-    lexical = search.lexical_search(items, _asked(items), k=depth)
-    sets = search.top(_set_scores(items, _asked(items)), "query_id", depth, F.desc("score"), "id")
-    return lexical.join(keys, "id"), sets.join(keys, "id"), items
+    lexical = search.lexical_search(items, _asked(items), k=depth, tie="chapter")
+    sets = search.set_search(items, _asked(items), k=depth)
+    return lexical.join(keys, "id"), sets.join(keys, "id")
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical and set-cosine lists fused by content; equal texts are one hit."""
-    lexical, sets, _ = _lists(spark, sf_dir, 16)
+    lexical, sets = _lists(spark, sf_dir, 16)
     return search.reciprocal_rank_fusion({"lexical": (lexical, 1.0), "sets": (sets, 1.0)})
 
 
 def weighted_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexical, sets, _ = _lists(spark, sf_dir, 16)
+    lexical, sets = _lists(spark, sf_dir, 16)
     return search.reciprocal_rank_fusion({"lexical": (lexical, 2.0), "sets": (sets, 0.5)}, rrf_k=20)
 
 
+def hybrid_hits(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
+    """The lexical and the vector list of each question, twice as deep as asked for, fused by document."""
+    items = _items(spark, sf_dir)
+    asked = _asked(items)
+    vectors, questions = _vectors(spark, sf_dir)
+    held = items.select("id")
+    lexical = search.lexical_search(items, asked, k=2 * k, tie="chapter")
+    near = search.vector_search(vectors.join(held, "id", "left_semi"), questions.join(asked.select("query_id"), "query_id", "left_semi"), k=2 * k)
+    lists = {"lexical": (lexical.withColumnRenamed("id", "key"), 1.0), "vector": (near.withColumnRenamed("id", "key"), 1.0)}
+    return search.reciprocal_rank_fusion(lists, k=k).withColumnRenamed("key", "id")
+
+
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical and vector search of the documents fused by rank."""
+    return hybrid_hits(spark, sf_dir)
+
+
+def _reranked(spark: SparkSession, sf_dir: str, hits: DataFrame) -> DataFrame:
+    items = _items(spark, sf_dir)
+    texts = _asked(items).select("query_id", F.col("text").alias("query_text"))
+    # Hits are k rows a question and few bytes before they get their texts; a fixed number of partitions
+    # keeps the work on long texts from being put together in one task.
+    held = hits.join(items.select("id", "text"), "id").join(texts, "query_id")
+    return search.rerank(held.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "query_id", "id"))
+
+
 def local_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical hits, re-ranked by phrase and word overlap."""
     items = _items(spark, sf_dir)
-    asked = _asked(items)
-    hits = search.lexical_search(items, asked).join(items.select("id", "text"), "id").join(asked.select("query_id", F.col("text").alias("query_text")), "query_id")
-    return search.rerank(hits).select("query_id", "id", "phrase", "overlap", "new_score", "new_rank")
+    hits = _reranked(spark, sf_dir, search.lexical_search(items, _asked(items), tie="chapter"))
+    return hits.select("query_id", "id", "phrase", "overlap", "new_score", "new_rank")
+
+
+def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: lexical and vector lists fused by rank, then re-ranked by phrase and word overlap."""
+    hits = _reranked(spark, sf_dir, hybrid_hits(spark, sf_dir))
+    return hits.select("query_id", "id", "lexical_rank", "vector_rank", "phrase", "overlap", "new_score", "new_rank")
 
 
 def statement_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +156,15 @@ QUERIES = {
         lexical_topk_chapter,
         vector_topk,
         vector_topk_label,
+        vector_topk_filtered,
+        vector_topk_indexed,
+        vector_index_recall,
         set_cosine_topk,
         rrf_fusion,
         weighted_rrf,
         local_rerank,
+        hybrid_topk,
+        hybrid_rerank,
         statement_scores,
         title_pairs,
     )
@@ -136,7 +183,7 @@ num AS (SELECT count(*) AS n FROM item),
 score AS (
   SELECT q.id AS query_id, p.id, round(sum(q.tf * (1 + ln(p.tf)) * (ln((n + 1) / (df + 1)) + 1)), 6) AS score
   FROM post q JOIN post p USING (term) JOIN freq USING (term) CROSS JOIN num WHERE q.id % 50 = 0 @MORE GROUP BY 1, 2),
-lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM score WHERE score > 0))
+lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, (SELECT chapter FROM item i WHERE i.id = score.id) NULLS LAST, id) AS rank FROM score WHERE score > 0))
 """.replace("@TERMS", _TERMS)
 _SETS = f"""
 , tok AS (SELECT id, {_TOKENS.format('text')} AS t FROM item),
@@ -156,14 +203,34 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
   SELECT q.vec_id AS query_id, i.vec_id AS id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))
     / coalesce(nullif(sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 0), 1)
     / coalesce(nullif(sqrt(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(i.embedding AS DOUBLE[]))), 0), 1), 6) AS score
-  FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 {})) WHERE rank <= 10"""
+  FROM embeddings q JOIN embeddings i ON q.vec_id % 50 = 0 {})) WHERE rank <= {}"""
+_HYBRID = """
+, near AS (SELECT query_id, id, rank FROM (""" + _COSINE.format("AND q.vec_id IN (SELECT id FROM item) AND i.vec_id IN (SELECT id FROM item)", 16) + """)),
+pair AS (
+  SELECT query_id, id, rank, 'lexical' AS l FROM lexical WHERE rank <= 16
+  UNION ALL SELECT query_id, id, rank, 'vector' FROM near),
+hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, lexical_rank NULLS LAST, vector_rank NULLS LAST, id) AS rank FROM (
+  SELECT query_id, id, round(sum(1.0 / (60 + rank)), 6) AS score, min(CASE WHEN l = 'lexical' THEN rank END) AS lexical_rank, min(CASE WHEN l = 'vector' THEN rank END) AS vector_rank FROM pair GROUP BY 1, 2)) WHERE rank <= 8)
+"""
 
 ORACLE = {
     "term_document_frequency": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents WHERE text IS NOT NULL) GROUP BY 1",
     "lexical_topk": _LEXICAL.replace("@MORE", "") + "SELECT * FROM lexical WHERE rank <= 8",
-    "lexical_topk_chapter": _LEXICAL.replace("@MORE", "AND (SELECT chapter FROM item i WHERE i.id = q.id) = (SELECT chapter FROM item i WHERE i.id = p.id)") + "SELECT * FROM lexical WHERE rank <= 8",
-    "vector_topk": _COSINE.format(""),
-    "vector_topk_label": _COSINE.format("AND q.label = i.label"),
+    "lexical_topk_chapter": _LEXICAL.replace("@MORE", "AND coalesce((SELECT chapter FROM item i WHERE i.id = q.id) IS NOT DISTINCT FROM (SELECT chapter FROM item i WHERE i.id = p.id), true) OR (q.id % 50 = 0 AND (SELECT chapter FROM item i WHERE i.id = q.id) IS NULL)") + "SELECT * FROM lexical WHERE rank <= 8",
+    "vector_topk": _COSINE.format("", 10),
+    "vector_topk_label": _COSINE.format("AND q.label = i.label", 10),
+    "vector_topk_filtered": _COSINE.format("AND i.label BETWEEN q.label AND q.label + 2", 12),
+    "vector_index_recall": "SELECT count(*) AS queries, true AS enough FROM embeddings WHERE vec_id % 50 = 0",
+    "hybrid_topk": _LEXICAL.replace("@MORE", "") + _HYBRID + "SELECT query_id, id, score, lexical_rank, vector_rank, rank FROM hybrid",
+    "hybrid_rerank": _LEXICAL.replace("@MORE", "")
+    + _HYBRID
+    + f"""
+, t AS (SELECT id, regexp_replace(lower(text), '\\s+', ' ', 'g') AS flat, list_distinct({_TERMS}) AS terms FROM item),
+s AS (SELECT l.*, CASE WHEN trim(q.flat) <> '' AND contains(i.flat, trim(q.flat)) THEN 1 ELSE 0 END AS phrase,
+  round(len(list_intersect(q.terms, i.terms)) / greatest(len(q.terms), 1), 6) AS overlap
+  FROM hybrid l JOIN t q ON q.id = l.query_id JOIN t i ON i.id = l.id)
+SELECT query_id, id, lexical_rank, vector_rank, phrase, overlap, round(score + overlap + phrase, 6) AS new_score,
+  row_number() OVER (PARTITION BY query_id ORDER BY phrase DESC, overlap DESC, score DESC, rank, id) AS new_rank FROM s""",
     "set_cosine_topk": _LEXICAL.replace("@MORE", "") + _SETS + "SELECT * FROM sets WHERE rank <= 8",
     "rrf_fusion": _LEXICAL.replace("@MORE", "") + _SETS + _RRF.format("1.0", "1.0", 60),
     "weighted_rrf": _LEXICAL.replace("@MORE", "") + _SETS + _RRF.format("2.0", "0.5", 20),

@@ -70,6 +70,14 @@ def cut_counting(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str,
     return kept, {name: seen.get[name] or 0 for name in counts}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores where it comes in fewer partitions than there are.
+
+    For scans of few files that feed much work a row; an input of more partitions is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
