@@ -1,21 +1,28 @@
 """Garbled text from wrong character encodings (problem 8).
 
 A noisy channel: text written in encoding T was read in encoding W.  For every channel (W, T) the
-stretches that W can have produced are turned back into bytes, decoded by T, and the reading that
-the corpus makes more likely wins.
+stretches that W can have produced are turned back into bytes and these into a lattice: its arcs are
+the characters of T that fit the bytes at a place, a lost byte fitting any, and the shown characters
+themselves, changing between the two having its price.  The likeliest path under the corpus, by
+characters and by word frequencies, is found by Viterbi search; what it is likelier than the text as
+shown is the evidence.  A stretch without lost bytes has one reading, so its lattice has the two paths
+"read" and "shown", which are compared without a search.
+
+A replacement character, or a C1 control character, is all but impossible in sound text: each costs the
+shown path ``BAD``.  Text read as UTF-8 by mistake has replacement characters only, one a byte that did
+not fit; its lattices have one-byte encodings and GB 18030 as T, with as many lost bytes in a row as
+there are.
 
 The corpus model is a count sketch of characters, pairs, triples and words of all documents, of a
-fixed size that does not grow with the data (two rows of 2 ** ``SKETCH_BITS`` counters): each task
-counts its own rows into arrays, the arrays are summed by counter, and the sums are broadcast.  A
-reading's score is its log-likelihood under interpolated triples plus, for words, the log of its
-corpus frequency.
-
-Channels into UTF-8 look for byte sequences that are valid UTF-8.  Bytes that W could not represent
-are lost (U+FFFD); a stretch with lost bytes becomes a lattice in which a lost byte may be any
-byte, and a Viterbi search over the lattice picks the likeliest characters.  Channels between
-one-byte encodings are tried word by word, channels into two-byte encodings stretch by stretch.
-A document is affected if it has a replacement or C1 control character, or if the evidence for one
-channel (the gains in log-likelihood of the words or stretches it improves) reaches its threshold.
+fixed size that does not grow with the data (two rows of 2 ** ``SKETCH_BITS`` counters, the median
+counter, which is what collisions come to in a full sketch, being taken off): each task counts its
+rows into arrays, the arrays are summed by counter, and the sums are broadcast.  Words are weighed by
+their share of all words, those under ``RARE`` alike, so that a document is judged alike in a corpus of
+any size.
+
+Channels into UTF-8 look for byte sequences that are valid UTF-8.  Channels between one-byte encodings
+are tried word by word, channels into two-byte encodings stretch by stretch.  A document is affected if
+the evidence of its best channel and of its bad characters reaches the threshold.
 
 Nulls: null and empty texts are not affected; a null id is kept.  Repeated rows count once in the
 result of ``garbled``.  Empty input gives an empty result.
@@ -44,8 +51,16 @@ EVIDENCE_UTF8, EVIDENCE_WIDE, EVIDENCE = 0.5, 3.5, 7.0
 #: The least gain of one word that counts as evidence, and the log-likelihood of a character
 #: given those before it, below which a word is looked into.
 LEAST, UNUSUAL = 2.0, -3.5
-#: What a change between sound and garbled text costs in a lattice.
-SWITCH = 6.0
+#: What a change between sound and garbled text costs in a lattice, and a bad character in sound text.
+SWITCH, BAD = 6.0, 20.0
+#: What a change of case inside a word costs where a lost character is chosen.
+CAPITAL = 3.0
+#: States that a place of a lattice keeps, 0 for all (exact, and slow where many bytes are lost).
+BEAM = 16
+#: Signs beside bad characters that belong to their lattice.
+AROUND = 12
+#: The share of all words below which words count alike.
+RARE = 1e-6
 
 # Encodings by their Python names, those with one byte a character first.
 ONE_BYTE = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "mac_roman", "mac_cyrillic", "cp437", "cp850", "cp866", "iso8859-5", "iso8859-15", "cp1254")
@@ -66,7 +81,9 @@ _LETTERS = re.compile(r"[^\W\d_]")
 _C1 = re.compile("[\x80-\x84\x86-\x9f]")
 _NARROW = re.compile("[^\\x00-\x7f\u2e80-\uffef]{4,}")
 _LOST = "�"
-_LONE = re.compile("(?<![^\\x00-\u024f\u2010-\u206f])�(?![^\\x00-\u024f\u2010-\u206f])")
+_BAD = re.compile("[\x80-\x84\x86-\x9f�]")
+_WHOLE_BAD = re.compile("[^\\x00-\x7f]*[\x80-\x84\x86-\x9f�](?:[^\\x00-\x7f]|[@-~](?=[^\\x00-\x7f]))*")
+_AROUND_BAD = re.compile(f"[^\\x00-\x7f]{{0,{AROUND}}}[\x80-\x84\x86-\x9f�](?:[^\\x00-\x7f]|[@-~](?=[^\\x00-\x7f])){{0,{AROUND}}}")
 _KEYS = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]], np.uint64)
 
 
@@ -137,7 +154,9 @@ def corpus_sketch(texts: DataFrame, column: str = "text", bits: int = SKETCH_BIT
             part = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums.reshape(-1)[part])], names=["at", "n"])
 
-    rows = texts.select(column).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    # A task's sums may have a row per counter, so a sketch is made per core rather than per split.
+    held, most = texts.select(column), 2 * texts.sparkSession.sparkContext.defaultParallelism
+    rows = (held.coalesce(most) if held.rdd.getNumPartitions() > most else held).mapInArrow(count, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     sketch = np.zeros(3 << bits, np.int64)
     sketch[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return sketch.reshape(3, 1 << bits)
@@ -152,9 +171,13 @@ class Model:
     """Log-likelihoods under a corpus sketch."""
 
     def __init__(self, sketch: np.ndarray):
-        self.rows, self.bits = sketch[:2], sketch.shape[1].bit_length() - 1
+        self.bits = sketch.shape[1].bit_length() - 1
+        # Half of the counters hold no more than collisions once the sketch is full.
+        self.rows = np.maximum(sketch[:2] - np.median(sketch[:2], axis=1).astype(np.int64)[:, None], 0)
         self.words, self.characters = int(sketch[2, 0]) + 1, int(sketch[2, 1]) + 1
         self.score = lru_cache(200_000)(self._score)
+        self.alphabet = lru_cache(None)(self._alphabet)
+        self.has = lru_cache(None)(lambda sign: bool(self.counts(np.array([ord(sign.lower()[:1])], np.uint64) | np.uint64(1 << 63))[0]))
 
     def counts(self, names: np.ndarray) -> np.ndarray:
         return np.minimum(*(self.rows[r][_mix(names, r, self.bits).astype(np.int64)] for r in range(2)))
@@ -170,15 +193,16 @@ class Model:
         p = 0.7 * _share(c3, pairs[:-1]) + 0.25 * _share(pairs[1:], singles[:-1])
         return np.log(p + 0.05 * (singles[1:] + 0.01) / self.characters)
 
-    def conditional(self, lines: np.ndarray) -> np.ndarray:
-        """The log-likelihood of each row's third character, given its first two."""
-        a, b, c = lines[:, 0], lines[:, 1], lines[:, 2]
-        one, two = np.uint64(1 << 63), np.uint64(1 << 62)
-        s = np.uint64(21)
-        c3, b2 = self.counts((a << np.uint64(42)) | (b << s) | c), self.counts((a << s) | b | two)
-        c2, b1, c1 = self.counts((b << s) | c | two), self.counts(b | one), self.counts(c | one)
+    def conditional(self, lasts: np.ndarray, signs: "Signs") -> np.ndarray:
+        """The log-likelihoods of ``signs`` (columns) after each pair of characters (rows of ``lasts``)."""
+        a, b, c = lasts[:, :1], lasts[:, 1:], signs.codes[None, :]
+        one, two, s = np.uint64(1 << 63), np.uint64(1 << 62), np.uint64(21)
+        c3, c2 = self.counts((a << np.uint64(42)) | (b << s) | c), self.counts((b << s) | c | two)
+        b2, b1 = self.counts((a << s) | b | two), self.counts(b | one)
+        if signs.single is None:
+            signs.single = self.counts(c | one)
         p = 0.7 * _share(c3, b2) + 0.25 * _share(c2, b1)
-        return np.log(p + 0.05 * (c1 + 0.01) / self.characters)
+        return np.log(p + 0.05 * (signs.single + 0.01) / self.characters)
 
     def _score(self, text: str) -> float:
         """The log-likelihood of ``text`` with its first two characters given."""
@@ -193,14 +217,30 @@ class Model:
         return [float(sums[end - 2] - sums[end - len(p)]) for p, end in zip(parts, ends)]
 
     def frequencies(self, texts: list[str]) -> np.ndarray:
-        """The mean log-frequency in the corpus of each text's words of three letters and more."""
+        """The mean log-share, of all words of the corpus, of each text's words of three letters and more."""
         words = [[w for w in _WORDS.findall(t.lower()) if len(w) > 2] for t in texts]
         names = np.array([_word_code(w) for part in words for w in part], np.uint64)
-        logs = np.log(self.counts(names) + 0.5) if len(names) else np.zeros(0)
+        logs = np.log(self.counts(names) / self.words + RARE) if len(names) else np.zeros(0)
         ends = np.cumsum([len(part) for part in words])
         sums = np.concatenate([[0.0], np.cumsum(logs)])
         sizes = np.array([len(part) for part in words])
-        return np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1), np.log(0.5))
+        return np.where(sizes > 0, (sums[ends] - sums[ends - sizes]) / np.maximum(sizes, 1), np.log(RARE))
+
+    def _alphabet(self, written: str) -> dict[int, tuple[np.ndarray, "Signs"]]:
+        """The corpus's characters beyond ASCII that ``written`` has, by length in bytes: (bytes, characters)."""
+        codes = np.concatenate([np.arange(0xA0, 0xD800), np.arange(0xF900, 0xFFF0), np.arange(0x1F300, 0x1FB00), np.arange(0x20000, 0x2A6E0)]).astype(np.uint64)
+        found: dict[int, tuple[list[bytes], list[str]]] = {}
+        for sign in map(chr, codes[self.counts(codes | np.uint64(1 << 63)) > 0].tolist()):
+            for form in {sign, sign.upper()}:
+                try:
+                    data = form.encode(written)
+                except UnicodeEncodeError:
+                    continue
+                if len(form) == 1:
+                    rows = found.setdefault(len(data), ([], []))
+                    rows[0].append(data)
+                    rows[1].append(form)
+        return {n: (np.frombuffer(b"".join(rows), np.uint8).reshape(-1, n), Signs(signs)) for n, (rows, signs) in found.items()}
 
 
 @lru_cache(None)
@@ -257,10 +297,33 @@ class _Bytes(dict):
 _MANY = {w: _Bytes(w) for w in MANY_BYTE}
 
 
-def _gain(model: Model, text: str, start: int, end: int, new: str) -> float:
-    """By how much ``new`` in place of ``text[start:end]`` is likelier, its neighbours counted."""
+def _fits(model: Model, text: str, start: int, end: int, readings: list[str]) -> np.ndarray:
+    """The log-likelihoods of ``readings`` in place of ``text[start:end]``: characters, with their neighbours,
+    and the words they make with the letters beside them, less what bad characters cost."""
     left, right = ("  " + text[max(0, start - 2) : start])[-2:], (text[end : end + 2] + "  ")[:2]
-    return model.score(left + new + right) - model.score(left + text[start:end] + right)
+    word, rest = _WORD_BEFORE.search(text, max(0, start - 40), start).group(), _WORD_AFTER.match(text, end).group()
+    signs = np.array([model.score(left + x + right) - BAD * len(_BAD.findall(x)) for x in readings])
+    return np.round(signs + model.frequencies([word + x + rest for x in readings]), 6)
+
+
+def _gains(model: Model, text: str, changes: list[tuple[int, int, str]]) -> list[float]:
+    """By how much each (start, end, reading) is likelier than what is shown: the two paths of a lattice of one
+    reading, as ``_fits`` has them, all in one pass."""
+    lines, words = [], []
+    for start, end, new in changes:
+        left, right = ("  " + text[max(0, start - 2) : start])[-2:], (text[end : end + 2] + "  ")[:2]
+        word, rest = _WORD_BEFORE.search(text, max(0, start - 40), start).group(), _WORD_AFTER.match(text, end).group()
+        for x in (new, text[start:end]):
+            lines.append((left + x + right).lower())
+            words.append(word + x + rest)
+    steps = model.steps(_codes("".join(lines)))
+    sizes = np.array([len(x) for x in lines])
+    ends = np.cumsum(sizes)
+    sums = np.concatenate([[0.0], np.cumsum(steps)])
+    fits = sums[ends - 2] - sums[ends - sizes] + model.frequencies(words)
+    # Two signs make a character of UTF-8 too easily; one that the corpus does not have proves nothing.
+    bad = np.array([BAD * (len(_BAD.findall(text, start, end)) - len(_BAD.findall(new)) - sum(not model.has(x) for x in new if x < "\u0800")) for start, end, new in changes])
+    return (fits[0::2] - fits[1::2] + bad).tolist()
 
 
 @lru_cache(None)
@@ -296,9 +359,9 @@ def _utf8_stretches(text: str, model: Model) -> dict[str, list[tuple[int, int, s
                 new = match.group().translate(_to_byte(read)).encode("latin-1").decode("utf-8")
             except (UnicodeDecodeError, UnicodeEncodeError):
                 continue
-            spans.append((match.start(), match.end(), new, _gain(model, text, match.start(), match.end(), new)))
+            spans.append((match.start(), match.end(), new))
         if spans:
-            found[read] = spans
+            found[read] = [(*x, gain) for x, gain in zip(spans, _gains(model, text, spans))]
     if _WIDE.search(text):
         for read in MANY_BYTE:
             # One pass in C finds out whether there is anything to look at.
@@ -306,13 +369,13 @@ def _utf8_stretches(text: str, model: Model) -> dict[str, list[tuple[int, int, s
                 continue
             spans = []
             for run in _RUN.finditer(text):
-                spans += _many_byte_spans(text, run.start(), run.end(), read, model)
+                spans += _many_byte_spans(text, run.start(), run.end(), read)
             if spans:
-                found[read] = spans
+                found[read] = [(*x, gain) for x, gain in zip(spans, _gains(model, text, spans))]
     return found
 
 
-def _many_byte_spans(text: str, start: int, end: int, read: str, model: Model) -> list[tuple[int, int, str, float]]:
+def _many_byte_spans(text: str, start: int, end: int, read: str) -> list[tuple[int, int, str]]:
     table, at, parts = _MANY[read], [], []
     for k in range(start, end):
         parts.append((text[k] != _LOST and table[text[k]]) or b"\xff")
@@ -329,7 +392,7 @@ def _many_byte_spans(text: str, start: int, end: int, read: str, model: Model) -
         if last - first < 6 or _LOST in new:
             continue
         begin, stop = at[first], at[last - 1] + 1
-        out.append((begin, stop, new, _gain(model, text, begin, stop, new)))
+        out.append((begin, stop, new))
     return out
 
 
@@ -386,7 +449,7 @@ def _two_byte_runs(text: str, model: Model, cache: dict) -> dict[tuple[str, str]
 def _wide_readings(shown: str, model: Model) -> list[tuple[tuple[str, str], str, float]]:
     """The readings of a stretch of narrow signs in two-byte encodings; an odd last sign stays."""
     out, held = [], set(shown)
-    old = model.score(f"  {shown}  ")
+    old = model.score(f"  {shown}  ") + model.frequencies([shown])[0]
     for read, written in TWO_BYTE_PAIRS:
         if not held <= _known(read):
             continue
@@ -398,7 +461,7 @@ def _wide_readings(shown: str, model: Model) -> list[tuple[tuple[str, str], str,
             except UnicodeDecodeError:
                 continue
         if sum("⺀" <= c < "｠" for c in new) * 2 > len(new):
-            gain = model.score(f"  {new}  ") - old
+            gain = float(model.score(f"  {new}  ") + model.frequencies([new])[0] - old) - BAD * sum(not model.has(x) for x in new)
             if gain > LEAST:
                 out.append(((read, written), new, gain))
     return out
@@ -407,7 +470,8 @@ def _wide_readings(shown: str, model: Model) -> list[tuple[tuple[str, str], str,
 def diagnose(text: str, model: Model, cache: dict) -> tuple[str | None, float, list]:
     """(channel, evidence, changes) of a text; no channel if it looks sound.
 
-    Changes are (start, end, reading) for channels that work on stretches, (word, reading) else."""
+    Changes are (start, end, reading) for channels that work on stretches, (word, reading) else.  Bad
+    characters are looked at only where the channels' own evidence does not suffice."""
     if not text or not _HIGH.search(text):
         return None, 0.0, []
     best: tuple[str | None, float, list] = (None, 0.0, [])
@@ -427,132 +491,182 @@ def diagnose(text: str, model: Model, cache: dict) -> tuple[str | None, float, l
             best = (f"{read}<{written}", gain, [(s, e, new) for s, e, new, _ in spans])
     if best[1] >= EVIDENCE:
         return best
-    if _LOST in text or _C1.search(text):
-        return best if best[0] else ("lost", 0.0, [])
+    lost = best[1]
+    for *_, gain in _bad_stretches(text, (best[0] or "").split("<")[0], model, EVIDENCE):
+        lost += gain
+        if lost >= EVIDENCE:
+            return (best[0] or "lost"), lost, best[2]
     return None, best[1], []
 
 
-def _candidates(items: list[int], at: int) -> list[tuple[int, str]]:
-    """The UTF-8 characters that may begin at ``at``: (next place, character); -1 is a lost byte."""
-    lead, out = items[at], []
-    if 0 <= lead < 0x80:
-        return [(at + 1, chr(lead))]
-    for length, low, high in ((2, 0xC2, 0xDF), (3, 0xE0, 0xEF)):
-        if at + length > len(items) or not (lead == -1 or low <= lead <= high):
-            continue
-        rest = items[at + 1 : at + length]
-        if any(0 <= b < 0x80 or b > 0xBF for b in rest) or (lead == -1) + rest.count(-1) > 1:
-            continue
-        leads = range(low, high + 1) if lead == -1 else (lead,)
-        for first in leads:
-            options = [(first,)]
-            for byte in rest:
-                options = [(*o, b) for o in options for b in (range(0x80, 0xC0) if byte == -1 else (byte,))]
-            for option in options:
-                try:
-                    out.append((at + length, bytes(option).decode("utf-8")))
-                except UnicodeDecodeError:
-                    pass
-    return out
+class Signs:
+    """Characters that an arc may have, with what is asked of them again and again."""
 
+    def __init__(self, signs: list[str]):
+        self.signs, self.codes, self.single = signs, np.array([ord(x.lower()[:1]) for x in signs], np.uint64), None
+        self.upper, self.lower = np.array([[x.isupper() for x in signs]]), np.array([[x.islower() for x in signs]])
 
-def viterbi(items: list[int], literal: dict[int, tuple[int, str]], left: str, model: Model, beam: int = 24, word: str = "", rest: str = "") -> str:
-    """The likeliest reading of bytes, -1 for a lost one, after the text ``left``.
 
-    ``word`` and ``rest`` are the letters before and after that share a word with the bytes.  States keep the
-    word they are in, so that the readings left at the end are ranked by characters and words.
+@lru_cache(100_000)
+def _sign(sign: str) -> Signs:
+    return Signs([sign])
 
-    Arcs are the UTF-8 characters that fit the bytes and, for stretches that are sound, the shown
-    characters themselves (``literal``: place to next place and character); changing between the
-    two costs ``SWITCH``."""
-    states: dict[int, dict[tuple[str, bool, str], tuple[float, tuple]]] = {0: {(("  " + left)[-2:], False, ""): (0.0, ())}}
+
+def _candidates(items: list[int], at: int, written: str, model: Model) -> Iterator[tuple[int, Signs]]:
+    """(next place, characters): what of ``written`` may begin at ``at``; -1 is a lost byte, which fits any.
+
+    Known bytes are decoded; where bytes are lost, the characters are those that the corpus has."""
+    if 0 <= items[at] < 0x80:
+        yield at + 1, _sign(chr(items[at]))
+        return
+    for length in (1, 2, 3, 4):
+        part = items[at : at + length]
+        if len(part) < length:
+            return
+        if -1 not in part:
+            try:
+                sign = bytes(part).decode(written)
+            except (UnicodeDecodeError, ValueError):
+                continue
+            if len(sign) == 1:
+                yield at + length, _sign(sign)
+        elif length in (held := model.alphabet(written)):
+            rows, signs = held[length]
+            if part == [-1] * length:
+                yield at + length, signs
+                continue
+            fits = np.ones(len(rows), bool)
+            for k, byte in enumerate(part):
+                if byte != -1:
+                    fits &= rows[:, k] == byte
+            if fits.any():
+                yield at + length, Signs([signs.signs[k] for k in np.flatnonzero(fits)])
+
+
+def viterbi(items: list[int], literal: dict[int, tuple[int, str]], left: str, model: Model, written: str = "utf-8", beam: int | None = None) -> list[str]:
+    """The likeliest readings of bytes, -1 for a lost one, after the text ``left``; best first.
+
+    Arcs are the characters of ``written`` that fit the bytes and the shown characters themselves
+    (``literal``: place to next place and character); changing between the two costs ``SWITCH``, a shown
+    character that is bad ``BAD``.  A state is the last two characters and the kind of the last arc; each
+    place keeps the ``beam`` likeliest (``BEAM`` if None, all if 0)."""
+    keep = BEAM if beam is None else beam
+    states: dict[int, dict[tuple[str, bool], tuple[float, tuple]]] = {0: {(("  " + left)[-2:], False): (0.0, ())}}
     for at in range(len(items)):
-        here = sorted(states.pop(at, {}).items(), key=lambda x: -x[1][0])[:beam]
+        here = sorted(states.pop(at, {}).items(), key=lambda x: -x[1][0])[: keep or None]
         if not here:
             continue
-        arcs = [(after, sign, True) for after, sign in _candidates(items, at)]
+        lasts = np.array([[ord(c) for c in last.lower()[:2]] for (last, _), _ in here], np.uint64)
+        scores, modes = np.array([x[1][0] for x in here]), np.array([mode for (_, mode), _ in here])
+        arcs = [(after, signs, True) for after, signs in _candidates(items, at, written, model)]
         if at in literal:
-            arcs.append((*literal[at], False))
-        if not arcs:
-            continue
-        signs = np.array([ord(sign.lower()[:1]) for _, sign, _ in arcs], np.uint64)
-        lasts = np.array([[ord(c) for c in last.lower()[:2]] for (last, _, _), _ in here], np.uint64)
-        lines = np.column_stack([np.repeat(lasts, len(signs), 0), np.tile(signs, len(lasts))])
-        gains = model.conditional(lines).reshape(len(lasts), len(signs))
-        letters = [bool(_WORDS.match(sign)) for _, sign, _ in arcs]
-        for ((last, mode, current), (score, said)), row in zip(here, gains):
-            for (after, sign, garbled_arc), gain, letter in zip(arcs, row, letters):
-                new = score + float(gain) - SWITCH * (mode != garbled_arc)
-                slot, key = states.setdefault(after, {}), ((last + sign)[-2:], garbled_arc, current + sign if letter else "")
-                if key not in slot or slot[key][0] < new:
-                    slot[key] = (new, (said, sign))
-    ends = states.get(len(items))
-    if not ends:
-        return ""
+            arcs.append((literal[at][0], _sign(literal[at][1]), False))
+        for after, signs, read in arcs:
+            total = model.conditional(lasts, signs) + (scores - SWITCH * (modes != read))[:, None]
+            if len(signs.signs) > 1:  # the model knows no case: a capital in a word begins it or follows capitals
+                small, large = (np.array([f(last) for (last, _), _ in here])[:, None] for f in (lambda x: x[1].islower(), lambda x: x[0].isupper() and x[1].isupper()))
+                total = total - CAPITAL * ((small & signs.upper) | (large & signs.lower))
+            elif not read and _BAD.match(signs.signs[0]):
+                total = total - BAD
+            width, total = len(signs.signs), total.ravel()
+            best = np.argpartition(-total, 2 * keep)[: 2 * keep] if keep and len(total) > 2 * keep else np.arange(len(total))
+            slot = states.setdefault(after, {})
+            for k in best.tolist():
+                (last, _), (_, said) = here[k // width]
+                sign, value = signs.signs[k % width], float(total[k])
+                key = ((last + sign)[-2:], read)
+                if key not in slot or slot[key][0] < value:
+                    slot[key] = (value, (said, sign))
     readings = []
-    for _, said in ends.values():
+    for _, said in sorted(states.get(len(items), {}).values(), key=lambda x: -x[0])[: keep or None]:
         out = []
         while said:
             said, sign = said
             out.append(sign)
         readings.append("".join(reversed(out)))
-    much = model.frequencies([word + x + rest for x in readings])
-    return max(zip(readings, ends.values(), much), key=lambda x: x[1][0] + x[2])[0]
+    return readings
 
 
-def _read_lattice(run: str, left: str, read: str, model: Model, word: str = "", rest: str = "") -> str:
-    """A stretch with lost bytes as UTF-8 shown in ``read``; '' if no reading fits."""
+def _lattice(run: str, read: str) -> tuple[list[int], dict[int, tuple[int, str]]]:
+    """The bytes of a stretch shown in ``read``, -1 for a lost one, and its shown characters by place."""
     items: list[int] = []
     literal: dict[int, tuple[int, str]] = {}
     for sign in run:
         at = len(items)
         if sign == _LOST:
             items.append(-1)
+        elif sign < "\x80" or read == "utf-8":
+            items += sign.encode("utf-8", "surrogatepass")
+        elif read in ONE_BYTE:
+            byte = _to_byte(read).get(ord(sign))
+            items.append(ord(byte) if byte else 0x1FF)  # a character that W lacks stands for itself only
         else:
-            byte = _to_byte(read).get(ord(sign)) if read in ONE_BYTE else None
-            items += (byte.encode("latin-1") if byte else _MANY[read][sign] if read in _MANY else b"") or b"\xff"
+            items += list(_MANY[read][sign]) or [0x1FF]
         literal[at] = (len(items), sign)
-    return viterbi(items, literal, left, model, word=word, rest=rest)
+    return items, literal
 
 
-def _lattices(text: str, reads: tuple[str, ...], model: Model) -> str:
-    """``text`` with the stretches around lost bytes read by ``viterbi`` in the W that fits best."""
-    out, done = [], 0
-    for run in re.finditer(r"[^\x00-\x7f]*�[^\x00-\x7f]*", text):
-        left, old = text[max(0, run.start() - 2) : run.start()], run.group()
-        if len(old) < 2:
-            continue
-        lead = ("  " + left)[-2:]
-        word, rest = _WORD_BEFORE.search(text, max(0, run.start() - 40), run.start()).group(), _WORD_AFTER.match(text, run.end()).group()
+# Fixed values: (read in, written in) of the lattices that are tried for every bad character.
+BAD_CHANNELS = {_LOST: (("utf-8", "cp1252"), ("utf-8", "cp1251"), ("utf-8", "gb18030")), "\x80": (("latin-1", "cp1252"), ("latin-1", "utf-8"), ("latin-1", "cp1251"), ("latin-1", "gb18030"))}
 
-        def fit(new: str) -> float:
-            return model.score(lead + new) + float(model.frequencies([word + new + rest])[0])
 
-        best = max(((fit(new), new) for read in reads if (new := _read_lattice(old, left, read, model, word, rest))), default=(0, ""))
-        if best[1] and best[0] > fit(old):
-            out += [text[done : run.start()], best[1]]
-            done = run.end()
-    return "".join(out) + text[done:]
+def _bad_channels(old: str, read: str) -> list[tuple[str, str]]:
+    """The channels that are tried for a stretch with bad characters; ``read`` is the document's, if known."""
+    channels = [(read, "utf-8")] if read in ONE_BYTE or read in MANY_BYTE else []
+    channels += BAD_CHANNELS[_LOST if _LOST in old else "\x80"]
+    return channels + [(w, "utf-8") for w in MANY_BYTE if w != read and _WIDE.search(old)]
+
+
+def _bad_stretches(text: str, read: str, model: Model, enough: float = float("inf")) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, reading, gain) of the stretches around bad characters, by the channel whose path is likeliest
+    (the first whose gain is ``enough``); the reading is the shown text where no path is likelier, its bad
+    characters then being the gain: whatever they were, they were not these."""
+    for run in _AROUND_BAD.finditer(text):
+        start, end, new, gain, _ = _best_path(text, run.start(), run.end(), _bad_channels(run.group(), read), model, enough)
+        yield start, end, new, gain
 
 
-def _fill_lost(text: str, model: Model) -> str:
-    """``text`` with every U+FFFD that stands alone in Latin text taken for the high character that fits best."""
-    choice = sorted(set("".join(_from_byte("cp1252").values())) - {"\xad", "\xa0"})
-    signs = np.array([ord(c) for c in choice], np.uint64)
+def _best_path(text: str, start: int, end: int, channels: list[tuple[str, str]], model: Model, enough: float = float("inf")) -> tuple[int, int, str, float, tuple[str, str] | None]:
+    """(start, end, reading, gain, channel) of the likeliest path of a stretch over all ``channels``."""
+    old, left = text[start:end], text[max(0, start - 2) : start]
+    best = (start, end, old, BAD * len(_BAD.findall(old)), None)
+    found = 0.0
+    for w, t in channels:
+        items, literal = _lattice(old, w)
+        readings = [x for x in viterbi(items, literal, left, model, t) if x != old]
+        if not readings:
+            continue
+        fits = _fits(model, text, start, end, [old, *readings])
+        place = int(np.argmax(fits[1:]))
+        gain = float(fits[place + 1] - fits[0])
+        if gain > found:
+            found, best = gain, (start, end, readings[place], gain, (w, t))
+        if gain >= enough:
+            break
+    return best
+
 
-    def fill(match: re.Match) -> str:
-        left = ("  " + match.string[max(0, match.start() - 2) : match.start()])[-2:].lower()
-        right = (match.string[match.end() : match.end() + 2] + "  ")[:2].lower()
-        codes = [np.full(len(signs), np.uint64(ord(c))) for c in left] + [signs] + [np.full(len(signs), np.uint64(ord(c))) for c in right]
-        gain = sum(model.conditional(np.stack(codes[k : k + 3], 1)) for k in range(3))
-        return choice[int(np.argmax(gain))]
+def _mended(text: str, read: str, model: Model) -> str:
+    """``text`` with its runs of bad and other high characters read by the channel that fits best around the first
+    bad one of each."""
+    out, done = [], 0
+    for run in _WHOLE_BAD.finditer(text):
+        near = _AROUND_BAD.search(text, run.start(), run.end())
+        channel = _best_path(text, near.start(), near.end(), _bad_channels(near.group(), read), model)[4]
+        if channel:
+            new = _best_path(text, run.start(), run.end(), [channel], model)[2]
+            out += [text[done : run.start()], new]
+            done = run.end()
+    return "".join(out) + text[done:]
 
-    return _LONE.sub(fill, text)
 
+def restore(text: str, channel: str, changes: list, model: Model, cache: dict) -> str:
+    """``text`` as far as it can be restored; a text garbled several times over takes as many rounds.
 
-def restore(text: str, channel: str, changes: list, model: Model, cache: dict, rounds: int = 3) -> str:
-    """``text`` as far as it can be restored; a text garbled twice is restored in several rounds."""
-    for _ in range(rounds):
+    Each round makes the text likelier by the evidence it takes; one that comes back to a text ends them."""
+    seen: set[str] = set()
+    while text not in seen:
+        seen.add(text)
         if changes and len(changes[0]) == 3:
             out, done = [], 0
             for start, end, new in sorted(changes):
@@ -563,11 +677,8 @@ def restore(text: str, channel: str, changes: list, model: Model, cache: dict, r
         elif changes:
             readings = dict(changes)
             text = _TOKEN.sub(lambda m: readings.get(m.group(), m.group()), text)
-        if _LOST in text:
-            reads = (channel.split("<")[0],) if channel.endswith("<utf-8") else ()
-            if _WIDE.search(text):
-                reads = tuple(dict.fromkeys((*reads, *MANY_BYTE[:2])))
-            text = _fill_lost(_lattices(text, reads, model), model)
+        if _BAD.search(text):
+            text = _mended(text, channel.split("<")[0], model)
         channel, evidence, changes = diagnose(text, model, cache)
         if not channel or not changes or evidence < EVIDENCE:
             break

@@ -49,8 +49,59 @@ def test_lattice_fills_lost_bytes(docs):
     model = g.Model(sketch)
     data = list("索引揭示了".encode())
     data[8] = -1
-    assert g.viterbi(data, {}, "的", model) == "索引揭示了"
-    assert g.viterbi([0xE7], {}, "", model) == ""
+    assert g.viterbi(data, {}, "的", model)[0] == "索引揭示了"
+    assert g.viterbi([0xE7], {}, "", model) == []
+    # two lost bytes in one character, and all three of another
+    data[6] = data[7] = -1
+    assert g.viterbi(data, {}, "的", model)[0] == "索引揭示了"
+    assert g.viterbi(data, {}, "的", model, beam=0)[0] == "索引揭示了"
+    lost = list("守种人翻译了脚注".encode("gb18030"))
+    lost[4] = lost[5] = lost[9] = -1
+    assert g.viterbi(lost, {}, "", model, "gb18030")[0] == "守种人翻译了脚注"
+
+
+def test_lattice_reads_characters_of_four_bytes():
+    import numpy as np
+
+    sketch = np.zeros((3, 1 << 16), np.int64)
+    g._count_text(["\n".join(["the seal 🦭 sleeps"] * 30)], 16, sketch)
+    data = list("🦭".encode())
+    data[2] = -1
+    assert g.viterbi(data, {}, "l ", g.Model(sketch)) == ["🦭"]
+
+
+def test_text_read_as_utf8_by_mistake(spark):
+    clean = corpus()
+    model = model_of(clean)
+    for k, encoding in ((0, "cp1252"), (3, "cp1251"), (4, "gb18030")):
+        bad = SENTENCES[k].encode(encoding, "ignore").decode("utf-8", "replace")
+        channel, evidence, changes = g.diagnose(bad, model, {})
+        assert channel and evidence >= g.EVIDENCE
+        new = g.restore(bad, channel, changes, model, {})
+        right = sum(a == b for a, b in zip(new, SENTENCES[k])) / len(SENTENCES[k])
+        # of a text in Cyrillic letters no letter is left
+        assert g._LOST not in new and (encoding == "cp1251" or (len(new) == len(SENTENCES[k]) and right > 0.8)), (encoding, new)
+
+
+def model_of(texts):
+    import numpy as np
+
+    sketch = np.zeros((3, 1 << 16), np.int64)
+    g._count_text(["\n".join(texts)], 16, sketch)
+    return g.Model(sketch)
+
+
+def test_unusual_signs_are_sound():
+    texts = ["Řehov, Łukosz — 12 °C ± 3, £ 4 ¼ © Ἡ μνήμη ┌──┐ ★ NAÇÃO", "LE TÉMOIN PRÉFÈRE LA CÔTE", "naïve Zoë"]
+    model = model_of(corpus() + texts)
+    for sound in texts:
+        assert g.diagnose(sound, model, {})[0] is None, sound
+
+
+def test_evidence_is_alike_in_a_corpus_of_any_size():
+    bad = SENTENCES[0].encode("cp1252").decode("mac_roman", "replace")
+    small, large = (g.diagnose(bad, model_of(corpus() * times), {})[1] for times in (1, 50))
+    assert abs(small - large) < 0.1 * small
 
 
 def test_sketch_counts_all_rows(spark):
@@ -79,4 +130,6 @@ def test_lattice_prefers_words_to_likely_signs():
     sketch = np.zeros((3, 1 << 16), np.int64)
     g._count_text(["\n".join(["le béret du port"] * 20 + ["la bête du port"] * 8)], 16, sketch)
     # after " b" the corpus has é more often than ê, but "béte" is no word of it
-    assert g._lattices("la bÃ�te du port", ("cp1252",), g.Model(sketch)) == "la bête du port"
+    model, text = g.Model(sketch), "la bÃ�te du port"
+    start, end, new, gain = next(g._bad_stretches(text, "cp1252", model))
+    assert text[:start] + new + text[end:] == "la bête du port" and gain > g.EVIDENCE
