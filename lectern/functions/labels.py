@@ -11,10 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def slug(text: Column, prefix: str = "item") -> Column:
-    """Lower-case ASCII words joined by hyphens; prefix and hash where nothing is left."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
-    return F.when(bare == "", F.concat(F.lit(f"{prefix}-"), F.left(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(12)))).otherwise(bare)
+def slug(text: Column, prefix: str = "item", fold: bool = False) -> Column:
+    """Lower-case ASCII words joined by hyphens; prefix and hash where nothing is left.
+
+    With ``fold`` letters are decomposed (NFKD) first and what is not ASCII goes, so "Café" gives "cafe"
+    and not "caf".  Text in ASCII has nothing to decompose and does not leave the JVM."""
+    given = F.coalesce(text, F.lit(""))
+    if fold:
+        plain = F.when(given.rlike(r"^[\x00-\x7f]*$"), given).otherwise(F.regexp_replace(normal_form(given, "NFKD"), r"[^\x00-\x7f]", ""))
+    else:
+        plain = given
+    bare = F.regexp_replace(F.regexp_replace(F.lower(plain), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    return F.when(bare == "", F.concat(F.lit(f"{prefix}-"), F.left(F.sha2(given, 256), F.lit(12)))).otherwise(bare)
 
 
 def _span(first: Column, last: Column) -> Column:

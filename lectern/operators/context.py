@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from lectern.operators.passages import _longest_prefix, tokens_of
+from lectern.operators.passages import shortened, tokens_of
 
 
 def pack_context(hits: DataFrame, budget: int = 8000, per_chapter: int = 3) -> DataFrame:
@@ -29,7 +29,7 @@ def pack_context(hits: DataFrame, budget: int = 8000, per_chapter: int = 3) -> D
             if used + size > budget:
                 if rows:
                     continue
-                text = text[: _longest_prefix(text, budget)]
+                text = shortened(text, budget)
                 size, cut = tokens_of(text), True
             seen.add(hit.key)
             chapters[hit.chapter] = chapters.get(hit.chapter, 0) + 1
@@ -50,7 +50,7 @@ def pack_layers(hits: DataFrame, budget: int = 8000, per_chapter: int = 3) -> Da
         for hit in group.sort_values(["layer", "rank"]).itertuples():
             if used >= budget or (hit.layer, hit.key) in seen or (hit.layer == 2 and chapters.get(hit.chapter, 0) >= per_chapter):
                 continue
-            text = hit.text if tokens_of(hit.text) <= budget - used else hit.text[: _longest_prefix(hit.text, budget - used)]
+            text = hit.text if tokens_of(hit.text) <= budget - used else shortened(hit.text, budget - used)
             seen.add((hit.layer, hit.key))
             chapters[hit.chapter] = chapters.get(hit.chapter, 0) + 1
             used += tokens_of(text)

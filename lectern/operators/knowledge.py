@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.terms import token_set
 
-#: Least scores of a composition, statement and evidence to be used, and how many are used at most.
+# Least scores of a composition, statement and evidence to be used, and statements used at most.
 LEAST = {"composition": 0.35, "statement": 0.2, "evidence": 0.15}
 SELECTED = 6
 # Words that negate a statement.
@@ -41,33 +41,49 @@ def conflicts(statements: DataFrame, group: str) -> DataFrame:
 
 
 def coverage(analysis: DataFrame, statements: DataFrame, compositions: DataFrame, evidence: DataFrame) -> DataFrame:
-    """The answer mode of each turn and why, from aggregates of its hits.
+    """How each turn can be answered from its hits, and why.
 
-    ``analysis(turn_id, task, subject_breadth, documentary_scope, exact_wording, terms)``;
-    ``statements(turn_id, score)``, ``compositions(turn_id, score, text)``, ``evidence(turn_id, score, quote)``."""
+    ``analysis(turn_id, terms, exact, overview, several, wide)``: quoted terms; whether the exact wording is
+    asked for, a composition will do, two pieces at least are needed, the whole book is meant.
+    ``statements(turn_id, id, score, text)``, ``compositions(turn_id, score, text)``, ``evidence(turn_id, score, quote)``.
+
+    Statements count as far as they are selected (the ``SELECTED`` best); two of them that contradict each
+    other leave neither compositions nor statements as an answer."""
+    known = statements.where(F.col("score") >= LEAST["statement"])
+    selected = placed(known, "turn_id", F.desc("score"), F.col("id")).where(F.col("place") <= SELECTED)
+    clash = conflicts(selected, "turn_id").select("turn_id").distinct().withColumn("conflict", F.lit(True))
     s = statements.groupBy("turn_id").agg(F.least(F.count_if(F.col("score") >= LEAST["statement"]), F.lit(SELECTED)).alias("n_statements"), F.max("score").alias("statement_max"))
     usable = (F.col("score") >= LEAST["composition"]) & (F.trim("text") != "")
     c = compositions.groupBy("turn_id").agg(F.count_if(usable).alias("n_compositions"), F.max("score").alias("composition_max"))
     named = F.forall("terms", lambda t: F.contains(F.lower("quote"), F.lower(t)))
-    wanted = evidence.join(analysis.select("turn_id", "terms", "exact_wording"), "turn_id")
-    fits = F.when(F.col("exact_wording") & (F.size("terms") > 0), named).otherwise(F.col("score") >= LEAST["evidence"])
-    e = wanted.groupBy("turn_id").agg(F.count_if(fits).alias("n_evidence"), F.max("score").alias("evidence_max"))
-    rows = analysis.join(s, "turn_id", "left").join(c, "turn_id", "left").join(e, "turn_id", "left")
+    fits = F.when(F.col("exact") & (F.size("terms") > 0), named).otherwise(F.col("score") >= LEAST["evidence"])
+    e = evidence.join(analysis.select("turn_id", "terms", "exact"), "turn_id").groupBy("turn_id").agg(F.count_if(fits).alias("n_evidence"), F.max("score").alias("evidence_max"))
+    rows = analysis.join(s, "turn_id", "left").join(c, "turn_id", "left").join(e, "turn_id", "left").join(clash, "turn_id", "left")
     rows = rows.withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_statements", "n_compositions", "n_evidence")})
     rows = rows.withColumns({n: F.round(F.coalesce(n, F.lit(0.0)), 6) for n in ("statement_max", "composition_max", "evidence_max")})
-    relation, wide = F.col("subject_breadth") == "relation", F.col("documentary_scope").isin("book", "rollup")
-    canonical = ~F.col("exact_wording") & F.col("task").isin("summary", "definition", "explain", "explore") & (F.col("n_compositions") > 0)
-    knowledge = (F.col("n_statements") > 0) & ~(relation & (F.col("n_statements") < 2)) & ~(wide & (F.col("n_statements") < 2) & ~canonical)
-    raw = (F.col("n_evidence") > 0) & ~(relation & (F.col("n_evidence") < 2))
-    rows = rows.withColumns({"canonical_complete": canonical, "knowledge_complete": knowledge, "raw_complete": raw})
-    mode = (
-        F.when(F.col("canonical_complete"), "canonical_passthrough")
-        .when(F.col("knowledge_complete") & ~F.col("exact_wording"), "knowledge_synthesis")
-        .otherwise("raw_synthesis")
+    rows = rows.withColumn("conflict", F.coalesce("conflict", F.lit(False)))
+    composed = ~F.col("exact") & F.col("overview") & (F.col("n_compositions") > 0)
+    few, thin = F.col("several") & (F.col("n_statements") < 2), F.col("wide") & (F.col("n_statements") < 2) & ~composed
+    rows = rows.withColumns(
+        {
+            "canonical_complete": composed & ~F.col("conflict"),
+            "knowledge_complete": (F.col("n_statements") > 0) & ~few & ~thin & ~F.col("conflict"),
+            "raw_complete": (F.col("n_evidence") > 0) & ~(F.col("several") & (F.col("n_evidence") < 2)),
+        }
     )
+    by_statements = F.col("knowledge_complete") & ~F.col("exact")
+    mode = F.when(F.col("canonical_complete"), "canonical_passthrough").when(by_statements, "knowledge_synthesis").otherwise("raw_synthesis")
     enough = F.col("canonical_complete") | F.col("knowledge_complete") | F.col("raw_complete")
+    # The names of the reasons.
+    reasons = F.array(
+        F.when(few, "relation_requires_multiple_knowledge_nodes"),
+        F.when(thin, "cross_scope_knowledge_is_incomplete"),
+        F.when(F.col("conflict"), "knowledge_conflict_detected"),
+        F.when(F.col("canonical_complete"), "complete_canonical_composition").when(by_statements, "positive_knowledge_closure").otherwise("raw_evidence_required"),
+        F.when(~enough, "insufficient_pinned_evidence"),
+    )
     return rows.select(
-        "turn_id", mode.alias("answer_mode"), enough.alias("sufficient"), "canonical_complete", "knowledge_complete", "raw_complete", "statement_max", "composition_max", "evidence_max"
+        "turn_id", mode.alias("answer_mode"), enough.alias("sufficient"), "canonical_complete", "knowledge_complete", "raw_complete", "conflict", F.array_compact(reasons).alias("reasons"), "statement_max", "composition_max", "evidence_max"
     )
 
 

@@ -30,8 +30,16 @@ QUERY_BLOCK, QUERY_TERMS = 4096, 4_000_000
 #: Scores held at a time in a task.
 SCORES = 4_000_000
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64()), ("tie", pa.float64())])
-_FOUND_DDL = "query_id bigint, id bigint, score double, tie double"
+
+def _found(queries: DataFrame, items: DataFrame) -> str:
+    """The columns of what a task found; ids are strings or whole numbers, as they are in the inputs."""
+    return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {items.schema['id'].dataType.simpleString()}, score double, tie double"
+
+
+def _ids(array: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts: strings of fixed width or whole numbers."""
+    values = array.to_numpy(zero_copy_only=False)
+    return values.astype(str) if values.dtype == object else values.astype(np.int64)
 
 
 class Best:
@@ -39,7 +47,7 @@ class Best:
 
     def __init__(self, queries: int, k: int):
         self.k, self.least = k, np.full(queries, -np.inf)
-        self.query, self.score, self.tie, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        self.query, self.score, self.tie, self.id = np.zeros(0, np.int64), np.zeros(0), np.zeros(0), None
 
     def add(self, scores: np.ndarray, which: np.ndarray, ties: np.ndarray, ids: np.ndarray) -> None:
         """``scores`` of items (rows) for the queries numbered ``which`` (columns); -inf is no hit."""
@@ -49,7 +57,7 @@ class Best:
         at, column = np.nonzero((scores >= floor) & (scores > -np.inf))
         query = np.concatenate([self.query, which[column]])
         score, tie = np.concatenate([self.score, scores[at, column]]), np.concatenate([self.tie, ties[at]])
-        key = np.concatenate([self.id, ids[at]])
+        key = ids[at] if self.id is None else np.concatenate([self.id, ids[at]])
         order = np.lexsort((key, tie, -score, query))
         query, score, tie, key = query[order], score[order], tie[order], key[order]
         fresh = np.ones(len(query), bool)
@@ -61,7 +69,8 @@ class Best:
         self.least[self.query[full]] = self.score[full]
 
     def rows(self, query_ids: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(query_ids[self.query]), pa.array(self.id), pa.array(self.score), pa.array(self.tie)], schema=_FOUND)
+        ids = np.zeros(0, np.int64) if self.id is None else self.id
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[self.query]), pa.array(ids.tolist() if ids.dtype.kind == "U" else ids), pa.array(self.score), pa.array(self.tie)], names=["query_id", "id", "score", "tie"])
 
 
 def top(scored: DataFrame, group: str, k: int, *order) -> DataFrame:
@@ -78,14 +87,14 @@ def _blocks(queries: DataFrame, number: int) -> Iterator[pa.Table]:
             yield table
 
 
-def _over_blocks(queries: DataFrame, number: int, search: Callable[[pa.Table], DataFrame], k: int) -> DataFrame:
+def _over_blocks(queries: DataFrame, number: int, search: Callable[[pa.Table], DataFrame], k: int, columns: str) -> DataFrame:
     """The results of ``search`` for each block of queries, ranked."""
     found = None
     for block in _blocks(queries, number):
         part = search(block)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = queries.sparkSession.createDataFrame([], _FOUND_DDL)
+        found = queries.sparkSession.createDataFrame([], columns)
     return top(found, "query_id", k, F.desc("score"), "tie", "id").select("query_id", "id", "score", "rank")
 
 
@@ -157,14 +166,36 @@ class _Postings:
         first = np.unique(query, return_index=True)[1]
         self.allowed = _Allowed(block.column("tags").take(pa.array(first)).to_pylist())
         self.size = block.column("size").to_numpy()[first].astype(np.float64)
+        self.boosts = [_Allowed([x or [] for x in block.column(c).take(pa.array(first)).to_pylist()]) for c in block.column_names if c.startswith("boost_")]
+        self.phrases: dict[str, list[int]] = {}
+        if "phrases" in block.column_names:
+            for place, phrases in enumerate(block.column("phrases").take(pa.array(first)).to_pylist()):
+                for phrase in dict.fromkeys(phrases or ()):
+                    self.phrases.setdefault(phrase, []).append(place)
+
 
+def _finder(phrases: dict[str, list[int]]):
+    """A function from a text to the phrases it holds, all looked for in one pass where the library is there."""
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: [p for p in phrases if p in text]
+    machine = ahocorasick.Automaton()
+    for phrase in phrases:
+        machine.add_word(phrase, phrase)
+    machine.make_automaton()
+    return lambda text: {phrase for _, phrase in machine.iter(text)}
 
-def _compare_terms(shared, k: int, cosine: bool):
-    """Scores of items (id, tie, tag, terms) against a broadcast block of queries."""
+
+def _compare_terms(shared, k: int, cosine: bool, amounts: tuple[float, ...] = (), alone: bool = False, phrase: float = 0.0):
+    """Scores of items (id, tie, tag, terms, boost_..., text) against a broadcast block of queries.
+
+    Items gain ``amounts`` where their boost is among the query's, and ``phrase`` where they hold one of its
+    phrases; only such as share a term with the query, unless ``alone``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: _Postings = shared.value
-        best, queries = Best(len(block.ids), k), len(block.ids)
+        best, queries, find = Best(len(block.ids), k), len(block.ids), None
         rows = max(1, SCORES // queries)
         for whole in batches:
             for begin in range(0, whole.num_rows, rows):
@@ -179,8 +210,17 @@ def _compare_terms(shared, k: int, cosine: bool):
                 scores = _sums(block, item, term, weight, batch.num_rows, queries)
                 if cosine:
                     scores /= np.sqrt(np.maximum(sizes, 1)[:, None] * block.size[None, :])
-                scores = np.where(scores > 0, np.round(scores, 6), -np.inf)
-                ids, ties = batch.column("id").to_numpy(), _ties(batch)
+                met_one, scores = scores > 0, np.round(scores, 6)
+                for number, amount in enumerate(amounts):
+                    for places, which in block.boosts[number].groups(batch.column(f"boost_{number}")):
+                        scores[np.ix_(places, which)] += amount
+                if block.phrases and phrase:
+                    find = find or _finder(block.phrases)
+                    for place, text in enumerate(batch.column("text").to_pylist()):
+                        which = sorted({q for found in (find(text) if text else ()) for q in block.phrases[found]})
+                        scores[place, which] += phrase
+                scores = np.where((scores > 0) & (met_one | alone), np.round(scores, 6), -np.inf)
+                ids, ties = _ids(batch.column("id")), _ties(batch)
                 for places, which in block.allowed.groups(batch.column("tag")):
                     best.add(scores[np.ix_(places, which)], which, ties[places], ids[places])
         yield best.rows(block.ids)
@@ -209,16 +249,19 @@ def _sums(block: _Postings, item: np.ndarray, term: np.ndarray, weight: np.ndarr
     return scores.reshape(items, queries)
 
 
-def _term_search(items: DataFrame, asked: DataFrame, terms: Column, k: int, cosine: bool, same: str | None, tie: str | None) -> DataFrame:
+def _term_search(items: DataFrame, asked: DataFrame, terms: Column, k: int, cosine: bool, same: str | None, tie: str | None, boosts: tuple[tuple[str, float], ...] = (), alone: bool = False, phrase: float = 0.0) -> DataFrame:
     spark, asked = items.sparkSession, cut(asked)
-    held = items.select(F.col("id").cast("bigint").alias("id"), (F.col(tie) if tie else F.lit(0)).cast("double").alias("tie"), _tags(same, "tag"), terms.alias("terms"))
+    more = [F.xxhash64(c).alias(f"boost_{n}") for n, (c, _) in enumerate(boosts)] + [F.lower("text").alias("text")] * bool(phrase)
+    held = items.select("id", (F.col(tie) if tie else F.lit(0)).cast("double").alias("tie"), _tags(same, "tag"), terms.alias("terms"), *more)
     extent = asked.agg(F.count("*").alias("n"), F.approx_count_distinct("query_id").alias("queries")).first()
     number = max(1, -(-extent["n"] // QUERY_TERMS), -(-extent["queries"] // QUERY_BLOCK))
+    columns = _found(asked, held)
 
     def search(block: pa.Table) -> DataFrame:
-        return held.mapInArrow(_compare_terms(spark.sparkContext.broadcast(_Postings(block)), k, cosine), _FOUND_DDL)
+        shared = spark.sparkContext.broadcast(_Postings(block))
+        return held.mapInArrow(_compare_terms(shared, k, cosine, tuple(a for _, a in boosts), alone, phrase), columns)
 
-    return _over_blocks(asked, number, search, k)
+    return _over_blocks(asked, number, search, k, columns)
 
 
 def _tag_list(same: str | None) -> Column:
@@ -241,12 +284,28 @@ def lexical_search(items: DataFrame, queries: DataFrame, k: int = 8, same: str |
     return _term_search(items, weighed, terms, k, False, same, tie)
 
 
-def set_search(items: DataFrame, queries: DataFrame, k: int = 8, same: str | None = None, tie: str | None = None) -> DataFrame:
-    """(query_id, id, score, rank) by the cosine of the sets of tokens; arguments as ``lexical_search``."""
-    sets = queries.select("query_id", _tag_list(same), token_set(F.col("text")).alias("t"))
+def set_search(
+    items: DataFrame,
+    queries: DataFrame,
+    k: int = 8,
+    same: str | None = None,
+    tie: str | None = None,
+    boosts: tuple[tuple[str, str, float], ...] = (),
+    alone: bool = False,
+    phrases: tuple[str, float] | None = None,
+) -> DataFrame:
+    """(query_id, id, score, rank) by the cosine of the sets of tokens; arguments as ``lexical_search``.
+
+    ``boosts`` are (column of items, array column of queries, amount): what an item gains whose value is
+    among the query's.  ``phrases`` are (array column of queries, amount), gained by the items that hold one
+    of the phrases, case aside.  Items that share no token with the query are left out unless ``alone``."""
     items = spread(items)
-    asked = sets.select("query_id", "tags", F.explode("t").alias("term"), F.lit(1.0).alias("weight"), F.size("t").alias("size"))
-    return _term_search(items, asked, token_set(F.col("text")), k, True, same, tie)
+    more = [F.transform(c, lambda x: F.xxhash64(x)).alias(f"boost_{n}") for n, (_, c, _) in enumerate(boosts)]
+    if phrases:
+        more.append(F.transform(phrases[0], lambda x: F.lower(x)).alias("phrases"))
+    sets = queries.select("query_id", _tag_list(same), token_set(F.col("text")).alias("t"), *more)
+    asked = sets.select("query_id", "tags", F.explode("t").alias("term"), F.lit(1.0).alias("weight"), F.size("t").alias("size"), *sets.columns[3:])
+    return _term_search(items, asked, token_set(F.col("text")), k, True, same, tie, tuple((c, a) for c, _, a in boosts), alone, phrases[1] if phrases else 0.0)
 
 
 # --- vector search, exact and by an index of cells
@@ -284,7 +343,7 @@ def _compare_vectors(shared, k: int):
                 held, vectors = _matrix(batch.column("vector"), block.dimension)
                 if not len(held):
                     continue
-                ids, ties = batch.column("id").to_numpy()[held], _ties(batch)[held]
+                ids, ties = _ids(batch.column("id"))[held], _ties(batch)[held]
                 for places, which in block.allowed.groups(batch.column("tag").take(pa.array(held))):
                     best.add(np.round(vectors[places] @ block.rows[which].T, 6), which, ties[places], ids[places])
         yield best.rows(block.ids)
@@ -299,13 +358,15 @@ def vector_search(items: DataFrame, queries: DataFrame, k: int = 10, tag: str |
     block's queries mostly have are passed over.  With ``tag`` (a column of items) and ``tags`` (an array
     column of queries) a query is compared with the items of its tags only, or with all where it has none."""
     spark = items.sparkSession
-    held = items.select(F.col("id").cast("bigint").alias("id"), "vector", (F.col(tie) if tie else F.lit(0)).cast("double").alias("tie"), _tags(tag, "tag"))
-    asked = queries.select(F.col("query_id").cast("bigint").alias("query_id"), "vector", (F.col(tags) if tags else F.lit(None)).cast("array<bigint>").alias("tags"))
+    held = items.select("id", "vector", (F.col(tie) if tie else F.lit(0)).cast("double").alias("tie"), _tags(tag, "tag"))
+    asked = queries.select("query_id", "vector", (F.col(tags) if tags else F.lit(None)).cast("array<bigint>").alias("tags"))
+
+    columns = _found(asked, held)
 
     def search(block: pa.Table) -> DataFrame:
-        return held.mapInArrow(_compare_vectors(spark.sparkContext.broadcast(_Vectors(block)), k), _FOUND_DDL)
+        return held.mapInArrow(_compare_vectors(spark.sparkContext.broadcast(_Vectors(block)), k), columns)
 
-    return _over_blocks(asked, max(1, -(-asked.count() // QUERY_BLOCK)), search, k)
+    return _over_blocks(asked, max(1, -(-asked.count() // QUERY_BLOCK)), search, k, columns)
 
 
 class CellIndex:

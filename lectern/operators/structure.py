@@ -30,10 +30,17 @@ def heading_kind(title: Column) -> Column:
     return kind
 
 
+# Letters read for digits, pairs of brackets read for a nought, and signs around a number.
+MISREAD_LETTERS, MISREAD_DIGITS = "Oo〇IilS", "0001115"
+MISREAD_NOUGHT = r"\(\s*>|<\s*\)|\[\s*>|>\s*\]"
+AROUND_NUMBERS = "[]{}()（）<>_.,:：;；-—–"
+
+
 def page_label(text: Column) -> Column:
-    """The number printed on a page, with common misreadings of digits repaired; null if none."""
-    repaired = F.translate(F.trim(text), "OolIS[]()", "00115")
-    return F.when(repaired.rlike(r"^\d{1,4}$"), repaired.cast("int"))
+    """The number of one to four digits printed on a page, misread signs repaired; null for any other text."""
+    nought = F.regexp_replace(F.translate(text, MISREAD_LETTERS, MISREAD_DIGITS), MISREAD_NOUGHT, "0")
+    bare = F.translate(F.regexp_replace(nought, r"[\s\p{Z}]+", ""), AROUND_NUMBERS, "")
+    return F.when(bare.rlike(r"^[0-9]{1,4}$"), bare.cast("int"))
 
 
 def edge_lines(lines: DataFrame) -> DataFrame:

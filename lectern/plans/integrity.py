@@ -20,7 +20,7 @@ def locator_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def title_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slugs of the outline's titles, with how many nodes share each."""
-    nodes = table(spark, sf_dir, "source_nodes").select("node_id", slug(F.col("title"), "unit").alias("slug")).distinct()
+    nodes = table(spark, sf_dir, "source_nodes").select("node_id", slug(F.col("title"), "unit", fold=True).alias("slug")).distinct()
     return nodes.groupBy("slug").agg(F.count("*").alias("nodes"))
 
 
@@ -72,7 +72,7 @@ SELECT DISTINCT unit_id, CASE WHEN locator.physical_page_start IS NOT NULL THEN
   WHEN locator.line_start IS NOT NULL THEN 'lines ' || {_SPAN.format('locator.line_start', 'locator.line_end')}
   WHEN locator.source_line_start IS NOT NULL THEN 'lines ' || {_SPAN.format('locator.source_line_start', 'locator.source_line_end')} END AS label FROM source_units""",
     "title_slugs": """
-SELECT coalesce(nullif(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unit-' || left(sha256(coalesce(title, '')), 12)) AS slug, count(DISTINCT node_id) AS nodes FROM source_nodes GROUP BY 1""",
+SELECT coalesce(nullif(regexp_replace(regexp_replace(lower(regexp_replace(strip_accents(coalesce(title, '')), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unit-' || left(sha256(coalesce(title, '')), 12)) AS slug, count(DISTINCT node_id) AS nodes FROM source_nodes GROUP BY 1""",
     "page_routes": """
 SELECT composition, count(DISTINCT chapter) AS chapters, CASE WHEN count(DISTINCT chapter) = 1 THEN 'chapters/' || lpad(CAST(min(chapter) AS VARCHAR), 4, '0') ELSE 'knowledge/' || composition END AS route
 FROM (SELECT DISTINCT composition_revision_id AS composition, unnest(evidence_revision_ids) AS e FROM retrieved_compositions) c JOIN retrieved_evidence r ON r.evidence_revision_id = c.e GROUP BY 1""",

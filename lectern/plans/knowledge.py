@@ -12,8 +12,6 @@ from lectern.plans.outlines import _GRAPH, _SQUEEZE, composition_graph
 from lectern.plans.searching import _asked, _items
 from lectern.session import table
 
-DIMENSIONS = ("documentary_scope", "target_type", "task", "semantic_kind", "abstraction", "subject_breadth")
-
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "chat_turns").where("id is not null")
@@ -25,19 +23,64 @@ def _hits(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return table(spark, sf_dir, name).where("turn_id is not null").select("turn_id", *columns, score.alias("score")).distinct()
 
 
-def query_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analysis of every question."""
-    return questions.analyse(_turns(spark, sf_dir)).select("turn_id", *DIMENSIONS, "chapter", "exact_wording", F.array_join("terms", "|").alias("terms"))
+def _analysis(turns: DataFrame) -> DataFrame:
+    """``turns`` with what knowledge.coverage asks of a question, as far as the question itself tells it."""
+    read = turns.withColumns({"terms": questions.quoted(F.col("question")), "chapters": questions.chapters(F.col("question"))})
+    several = F.size("chapters") > 1
+    return read.withColumns({"exact": F.size("terms") > 0, "overview": ~several, "several": several, "wide": F.size("chapters") == 0})
+
+
+def question_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages that each question quotes and the chapters it names."""
+    read = _analysis(_turns(spark, sf_dir))
+    return read.select("turn_id", F.array_join("terms", "|").alias("terms"), F.array_join(F.array_sort("chapters"), "|").alias("chapters"))
 
 
 def coverage_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each turn can be answered from its hits, by the hits' own scores."""
-    return knowledge.coverage(
-        questions.analyse(_turns(spark, sf_dir)).where("task is not null"),
-        _hits(spark, sf_dir, "retrieved_statements", "statement_revision_id"),
+    decided = knowledge.coverage(
+        _analysis(_turns(spark, sf_dir)),
+        _hits(spark, sf_dir, "retrieved_statements", F.col("statement_revision_id").alias("id"), F.col("semantic_text").alias("text")),
         _hits(spark, sf_dir, "retrieved_compositions", "composition_revision_id", F.col("rendering_text").alias("text")),
         _hits(spark, sf_dir, "retrieved_evidence", "evidence_revision_id", "quote"),
     )
+    return decided.withColumn("reasons", F.array_join("reasons", "|"))
+
+
+def _asking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns whose id, read as a number, is divisible by 50: the questions put to all knowledge."""
+    turns = _analysis(_turns(spark, sf_dir)).where("question is not null")
+    chosen = turns.where(F.conv(F.regexp_extract("turn_id", "([0-9a-f]+)$", 1), 16, 10).cast("decimal(20,0)") % 50 == 0)
+    kind = F.when(F.col("exact"), "quotation").when(F.col("several"), "comparative").otherwise("factual")
+    scope = F.when(F.col("wide"), "book").otherwise("reading_unit")
+    composed = F.when(F.col("wide"), F.array(F.lit("overview"), F.lit("summary"))).otherwise(F.array(F.lit("chapter_summary"), F.lit("rollup")))
+    return chosen.select(
+        F.col("turn_id").alias("query_id"), F.col("question").alias("text"), "terms", F.get("chapters", F.lit(0)).alias("chapter"), F.array(kind).alias("kinds"), F.array(scope).alias("scopes"), composed.alias("composed")
+    )
+
+
+def statement_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best statements for each question: likeness, and a gain for its kind and its scope; of the
+    chapter that the question names, if it names one."""
+    rows = table(spark, sf_dir, "retrieved_statements").where("statement_revision_id is not null")
+    items = rows.groupBy(F.col("statement_revision_id").alias("id")).agg(F.max(F.struct("semantic_text", "kind", "scope.documentary_scope", "scope.chapter")).alias("s"))
+    items = items.select("id", F.col("s.semantic_text").alias("text"), "s.kind", "s.documentary_scope", "s.chapter")
+    return search.set_search(items, _asking(spark, sf_dir), k=8, same="chapter", boosts=(("kind", "kinds", 0.35), ("documentary_scope", "scopes", 0.15)))
+
+
+def composition_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best compositions for each question, of any chapter; a fitting kind alone may qualify one."""
+    rows = table(spark, sf_dir, "retrieved_compositions").where("composition_revision_id is not null")
+    items = rows.groupBy(F.col("composition_revision_id").alias("id")).agg(F.max(F.struct("rendering_text", "kind")).alias("s"))
+    items = items.select("id", F.col("s.rendering_text").alias("text"), "s.kind")
+    return search.set_search(items, _asking(spark, sf_dir), k=5, boosts=(("kind", "composed", 0.35),), alone=True)
+
+
+def evidence_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight best pieces of evidence for each question, with a gain for holding a passage it quotes."""
+    rows = table(spark, sf_dir, "retrieved_evidence").where("evidence_revision_id is not null")
+    items = rows.groupBy(F.col("evidence_revision_id").alias("id")).agg(F.max(F.struct("quote", "chapter")).alias("s")).select("id", F.col("s.quote").alias("text"), "s.chapter")
+    return search.set_search(items, _asking(spark, sf_dir), k=8, same="chapter", alone=True, phrases=("terms", 0.8))
 
 
 def support_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +173,11 @@ def health_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        query_dimensions,
+        question_readings,
         coverage_decision,
+        statement_topk,
+        composition_topk,
+        evidence_topk,
         support_closure,
         unsupported_statements,
         evidence_use,
@@ -144,55 +190,80 @@ QUERIES = {
 }
 
 
-def _contains(words: tuple[str, ...]) -> str:
-    return "(" + " OR ".join(f"contains(l, '{w}')" for w in words) + ")"
+_TURN = "turn AS (SELECT id AS turn_id, question, answer, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, question DESC NULLS LAST, answer DESC NULLS LAST) AS rn FROM chat_turns WHERE id IS NOT NULL) WHERE rn = 1)"
 
 
-_CASES = "\n".join(f"WHEN {_contains(words)} THEN '{name}'" for name, _, words in questions.TASKS)
-_KINDS = "\n".join(f"WHEN {_contains(words)} THEN '{kind}'" for _, kind, words in questions.TASKS)
-_TURN = "turn AS (SELECT id AS turn_id, question, answer, status FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC NULLS LAST, question DESC NULLS LAST, answer DESC NULLS LAST) AS rn FROM chat_turns WHERE id IS NOT NULL) WHERE rn = 1)"
-_ANALYSIS = rf"""
+def _every(patterns: list[str]) -> str:
+    return "list_concat(" + ", ".join("regexp_extract_all(coalesce(question, ''), '" + p.replace("'", "''") + "', 1)" for p in patterns) + ")"
+
+
+_ANALYSIS = f"""
 WITH {_TURN},
-q AS (SELECT turn_id, question, trim(regexp_replace(question, '[\s\p{{Z}}]+', ' ', 'g')) AS q FROM turn),
-r AS (SELECT *, lower(q) AS l, list_filter(regexp_extract_all(q, '["''“‘《][^"''”’》]{{1,120}}["''”’》]'), lambda x: (x[1] || x[-1]) IN ('""', '''''', '“”', '‘’', '《》')) AS quoted FROM q),
-s AS (SELECT *, list_filter(list_transform(quoted, lambda x: trim(x[2:-2])), lambda x: x <> '') AS ts,
-  coalesce(nullif(regexp_extract(q, '第\s*(\d{{1,4}})\s*[章节]', 1), ''), nullif(regexp_extract(q, '(?i)\bchapter\s*(\d{{1,4}})\b', 1), ''), nullif(regexp_extract(q, '(?i)\bchap\.?\s*(\d{{1,4}})\b', 1), '')) AS c FROM r),
-t AS (SELECT *, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS terms, nullif(CAST(c AS INTEGER), 0) AS chapter, coalesce(len(ts) > 0 OR {_contains(questions.EXACT)}, NULL) AS exact_wording FROM s),
-u AS (SELECT *, CASE WHEN exact_wording THEN 'quote' {_CASES} WHEN regexp_matches(q, '\b\d{{3,4}}\b|\d{{1,2}}[年月日号]') THEN 'fact_detail' ELSE 'explore' END AS task,
-  CASE WHEN exact_wording THEN 'quotation' {_KINDS} ELSE 'factual' END AS semantic_kind FROM t),
-v AS (SELECT *, CASE WHEN {_contains(questions.WHOLE_BOOK)} THEN 'book' WHEN exact_wording THEN 'span' WHEN chapter IS NOT NULL THEN 'reading_unit' WHEN task = 'summary' AND {_contains(questions.ACROSS)} THEN 'rollup'
-    WHEN task IN ('definition', 'fact_detail') THEN 'section' ELSE 'reading_unit' END AS documentary_scope,
-  CASE WHEN {_contains(questions.WHOLE_BOOK)} THEN 'book' WHEN exact_wording THEN 'evidence' WHEN chapter IS NOT NULL OR (task = 'summary' AND {_contains(questions.ACROSS)}) THEN 'chapter'
-    WHEN task IN ('definition', 'compare', 'causal', 'explain', 'explore') THEN 'entity' ELSE 'statement' END AS target_type FROM u),
-analysis AS (SELECT *, CASE WHEN documentary_scope IN ('book', 'rollup') OR task = 'compare' THEN 'cross_scope_synthesis' WHEN task IN ('summary', 'definition', 'explain', 'causal') THEN 'local_generalization' ELSE 'concrete_detail' END AS abstraction,
-  CASE WHEN task = 'compare' OR {_contains(questions.BETWEEN)} THEN 'relation' WHEN documentary_scope IN ('book', 'rollup') OR {_contains(questions.THEMES)} THEN 'theme_multi_subject' ELSE 'single_subject' END AS subject_breadth FROM v)
+said AS (SELECT turn_id, question, list_filter(list_transform({_every(questions.quoted_patterns())}, lambda x: trim(x, ' ')), lambda x: x <> '') AS ts,
+  list_transform({_every(questions.chapter_patterns())}, lambda x: CAST(x AS INTEGER)) AS cs FROM turn),
+analysis AS (SELECT turn_id, question, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS terms, list_filter(cs, lambda x, i: list_position(cs, x) = i) AS chapters FROM said)
 """
 _TOKENS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+|[\x{{3400}}-\x{{9FFF}}]'))"
+_ASKING = f"""
+, ask AS (SELECT turn_id AS query_id, {_TOKENS.format('question')} AS t, terms, chapters[1] AS chapter, CASE WHEN len(terms) > 0 THEN 'quotation' WHEN len(chapters) > 1 THEN 'comparative' ELSE 'factual' END AS kind,
+  CASE WHEN len(chapters) = 0 THEN 'book' ELSE 'reading_unit' END AS scope, CASE WHEN len(chapters) = 0 THEN ['overview', 'summary'] ELSE ['chapter_summary', 'rollup'] END AS composed
+  FROM analysis WHERE question IS NOT NULL AND CAST('0x' || regexp_extract(turn_id, '([0-9a-f]+)$', 1) AS HUGEINT) % 50 = 0)
+"""
 _NEGATIONS = "['" + "', '".join(knowledge.NEGATIONS) + "']"
 _NUMBERS = r"regexp_extract_all(regexp_replace({}, '\[[^\]]*\]', ' ', 'g'), '\d+')"
 _TOK = r"greatest(1, c + (n - c + 3) // 4)"
 _WIDE = r"length(text) - length(regexp_replace(text, '[\x{2E80}-\x{2FFF}\x{3000}-\x{303F}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]', '', 'g'))"
 
 ORACLE = {
-    "query_dimensions": _ANALYSIS
-    + "SELECT turn_id, chapter, exact_wording, array_to_string(terms, '|') AS terms, "
-    + ", ".join(f"CASE WHEN length(q) > 0 THEN {d} END AS {d}" for d in DIMENSIONS)
-    + " FROM analysis",
+    "question_readings": _ANALYSIS + "SELECT turn_id, array_to_string(terms, '|') AS terms, array_to_string(list_sort(chapters), '|') AS chapters FROM analysis",
     "coverage_decision": _ANALYSIS
     + f""",
-sh AS (SELECT DISTINCT turn_id, statement_revision_id, CASE WHEN NOT isnan(score) THEN score END AS score FROM retrieved_statements),
+sh AS (SELECT DISTINCT turn_id, statement_revision_id AS id, semantic_text AS text, CASE WHEN NOT isnan(score) THEN score END AS score FROM retrieved_statements),
 ch AS (SELECT DISTINCT turn_id, composition_revision_id, rendering_text AS text, CASE WHEN NOT isnan(score) THEN score END AS score FROM retrieved_compositions),
 eh AS (SELECT DISTINCT turn_id, evidence_revision_id, quote, CASE WHEN NOT isnan(score) THEN score END AS score FROM retrieved_evidence),
+pl AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY score DESC, id) AS place, {_TOKENS.format('text')} AS t FROM sh WHERE score >= 0.2),
+wd AS (SELECT turn_id, place, list_filter(t, lambda x: NOT list_contains({_NEGATIONS}, x)) AS w, list_has_any(t, {_NEGATIONS}) AS neg FROM pl WHERE place <= {knowledge.SELECTED}),
+cf AS (SELECT DISTINCT a.turn_id FROM wd a JOIN wd b ON a.turn_id = b.turn_id AND a.place < b.place AND a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 3),
 sa AS (SELECT turn_id, least(count(*) FILTER (score >= 0.2), {knowledge.SELECTED}) AS ns, max(score) AS sm FROM sh GROUP BY 1),
 ca AS (SELECT turn_id, count(*) FILTER (score >= 0.35 AND trim(text) <> '') AS nc, max(score) AS cm FROM ch GROUP BY 1),
-ea AS (SELECT turn_id, count(*) FILTER (CASE WHEN exact_wording AND len(terms) > 0 THEN len(list_filter(terms, lambda t: NOT contains(lower(quote), lower(t)))) = 0 ELSE score >= 0.15 END) AS ne, max(score) AS em
-  FROM eh JOIN analysis USING (turn_id) WHERE question IS NOT NULL GROUP BY 1),
-al AS (SELECT a.turn_id, exact_wording, subject_breadth = 'relation' AS rel, documentary_scope IN ('book', 'rollup') AS wide, length(q) > 0 AS asked, NOT exact_wording AND task IN ('summary', 'definition', 'explain', 'explore') AND coalesce(nc, 0) > 0 AS canonical_complete,
+ea AS (SELECT turn_id, count(*) FILTER (CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: NOT contains(lower(quote), lower(t)))) = 0 ELSE score >= 0.15 END) AS ne, max(score) AS em
+  FROM eh JOIN analysis USING (turn_id) GROUP BY 1),
+al AS (SELECT a.turn_id, len(terms) > 0 AS exact, len(chapters) > 1 AS several, len(chapters) = 0 AS wide, a.turn_id IN (SELECT turn_id FROM cf) AS conflict, coalesce(nc, 0) AS nc,
   coalesce(ns, 0) AS ns, coalesce(ne, 0) AS ne, round(coalesce(sm, 0), 6) AS statement_max, round(coalesce(cm, 0), 6) AS composition_max, round(coalesce(em, 0), 6) AS evidence_max
-  FROM analysis a LEFT JOIN sa USING (turn_id) LEFT JOIN ca USING (turn_id) LEFT JOIN ea USING (turn_id) WHERE length(q) > 0),
-de AS (SELECT *, ns > 0 AND NOT (rel AND ns < 2) AND NOT (wide AND ns < 2 AND NOT canonical_complete) AS knowledge_complete, ne > 0 AND NOT (rel AND ne < 2) AS raw_complete FROM al)
-SELECT turn_id, CASE WHEN canonical_complete THEN 'canonical_passthrough' WHEN knowledge_complete AND NOT exact_wording THEN 'knowledge_synthesis' ELSE 'raw_synthesis' END AS answer_mode,
-  canonical_complete OR knowledge_complete OR raw_complete AS sufficient, canonical_complete, knowledge_complete, raw_complete, statement_max, composition_max, evidence_max FROM de""",
+  FROM analysis a LEFT JOIN sa USING (turn_id) LEFT JOIN ca USING (turn_id) LEFT JOIN ea USING (turn_id)),
+be AS (SELECT *, NOT exact AND NOT several AND nc > 0 AS composed FROM al),
+de AS (SELECT *, composed AND NOT conflict AS canonical_complete, several AND ns < 2 AS few, wide AND ns < 2 AND NOT composed AS thin,
+  ns > 0 AND NOT (several AND ns < 2) AND NOT (wide AND ns < 2 AND NOT composed) AND NOT conflict AS knowledge_complete, ne > 0 AND NOT (several AND ne < 2) AS raw_complete FROM be)
+SELECT turn_id, CASE WHEN canonical_complete THEN 'canonical_passthrough' WHEN knowledge_complete AND NOT exact THEN 'knowledge_synthesis' ELSE 'raw_synthesis' END AS answer_mode,
+  canonical_complete OR knowledge_complete OR raw_complete AS sufficient, canonical_complete, knowledge_complete, raw_complete, conflict,
+  concat_ws('|', CASE WHEN few THEN 'relation_requires_multiple_knowledge_nodes' END, CASE WHEN thin THEN 'cross_scope_knowledge_is_incomplete' END, CASE WHEN conflict THEN 'knowledge_conflict_detected' END,
+    CASE WHEN canonical_complete THEN 'complete_canonical_composition' WHEN knowledge_complete AND NOT exact THEN 'positive_knowledge_closure' ELSE 'raw_evidence_required' END,
+    CASE WHEN NOT (canonical_complete OR knowledge_complete OR raw_complete) THEN 'insufficient_pinned_evidence' END) AS reasons,
+  statement_max, composition_max, evidence_max FROM de""",
+    "statement_topk": _ANALYSIS
+    + _ASKING
+    + f""", item AS (
+  SELECT statement_revision_id AS id, max(row(semantic_text, kind, scope.documentary_scope, scope.chapter)) AS s FROM retrieved_statements WHERE statement_revision_id IS NOT NULL GROUP BY 1),
+named AS (SELECT id, {_TOKENS.format('s[1]')} AS t, s[2] AS kind, s[3] AS scope, s[4] AS chapter FROM item),
+base AS (SELECT q.query_id, i.id, q.kind = i.kind AS k, q.scope = i.scope AS c, round(len(list_intersect(q.t, i.t)) / sqrt(len(q.t) * len(i.t)), 6) AS b
+  FROM ask q JOIN named i ON (q.chapter IS NULL OR q.chapter = i.chapter) AND len(list_intersect(q.t, i.t)) > 0)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, round(b + CASE WHEN k THEN 0.35 ELSE 0 END + CASE WHEN c THEN 0.15 ELSE 0 END, 6) AS score FROM base)) WHERE rank <= 8""",
+    "composition_topk": _ANALYSIS
+    + _ASKING
+    + f""", item AS (SELECT composition_revision_id AS id, max(row(rendering_text, kind)) AS s FROM retrieved_compositions WHERE composition_revision_id IS NOT NULL GROUP BY 1),
+named AS (SELECT id, {_TOKENS.format('s[1]')} AS t, s[2] AS kind FROM item)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.query_id, i.id, round(round(CASE WHEN len(q.t) * len(i.t) > 0 THEN len(list_intersect(q.t, i.t)) / sqrt(len(q.t) * len(i.t)) ELSE 0 END, 6) + CASE WHEN list_contains(q.composed, i.kind) THEN 0.35 ELSE 0 END, 6) AS score
+  FROM ask q CROSS JOIN named i WHERE len(q.t) > 0) WHERE score > 0) WHERE rank <= 5""",
+    "evidence_topk": _ANALYSIS
+    + _ASKING
+    + f""", item AS (SELECT evidence_revision_id AS id, max(row(quote, chapter)) AS s FROM retrieved_evidence WHERE evidence_revision_id IS NOT NULL GROUP BY 1),
+named AS (SELECT id, s[1] AS quote, {_TOKENS.format('s[1]')} AS t, s[2] AS chapter FROM item)
+SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT q.query_id, i.id, round(round(CASE WHEN len(q.t) * len(i.t) > 0 THEN len(list_intersect(q.t, i.t)) / sqrt(len(q.t) * len(i.t)) ELSE 0 END, 6)
+    + CASE WHEN len(list_filter(q.terms, lambda x: contains(lower(i.quote), lower(x)))) > 0 THEN 0.8 ELSE 0 END, 6) AS score
+  FROM ask q JOIN named i ON q.chapter IS NULL OR q.chapter = i.chapter WHERE len(q.t) > 0) WHERE score > 0) WHERE rank <= 8""",
     "support_closure": """
 SELECT statement, evidence, bool_or(e.turn_id IS NOT NULL) AS positive FROM (SELECT turn_id, statement_revision_id AS statement, unnest(evidence_revision_ids) AS evidence FROM retrieved_statements) s
 LEFT JOIN (SELECT DISTINCT turn_id, evidence_revision_id FROM retrieved_evidence) e ON e.turn_id = s.turn_id AND e.evidence_revision_id = s.evidence GROUP BY 1, 2""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import contains_cjk, count_tokens
 from lectern.operators import passages
-from lectern.session import table
+from lectern.session import counted, cut, table
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def section_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def greedy_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of consecutive runs of each document, filled up to 200 tokens."""
-    return passages.greedy_groups(passages.segments(_documents(spark, sf_dir), "doc_id"), "doc_id", 200)
+    return passages.greedy_groups(_documents(spark, sf_dir), "doc_id", 200)
 
 
 def per_source_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,26 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.chunk(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), F.coalesce("chapter", F.lit(0)).alias("chapter"), "text"))
 
 
+def chunk_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(check, violations): what the chunks must keep, counted over all documents."""
+    chunks = cut(chunk_documents(spark, sf_dir).select("source_path", "chunk_id", "start_line", "end_line", "token_count", "content_hash", "text"))
+    segments = passages.segments(_documents(spark, sf_dir), "doc_id").select(F.col("doc_id").cast("string").alias("source_path"), "start_line", "end_line", "text")
+    most = F.when(contains_cjk(F.col("text")), 200).otherwise(250)
+    # A text without a header is all body: each of its lines is in some chunk.
+    body = segments.join(_documents(spark, sf_dir).where(~F.col("text").rlike(r"(?m)^(>|# |\s*(```|~~~))")).select(F.col("doc_id").cast("string").alias("source_path")), "source_path", "left_semi")
+    wanted = body.select("source_path", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    held = chunks.select("source_path", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    checks = {
+        "over the maximum": chunks.where(F.col("token_count") > F.greatest(most, F.lit(250))),
+        "wrong token count": chunks.where(F.col("token_count") != count_tokens(F.col("text"))),
+        "wrong hash": chunks.where(F.col("content_hash") != F.sha2("text", 256)),
+        "lines turned round": chunks.where("end_line < start_line"),
+        "line without a chunk": wanted.join(held, ["source_path", "line"], "left_anti"),
+        "blank chunk": chunks.where(F.trim("text") == ""),
+    }
+    return counted(checks)
+
+
 def evidence_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Content-addressed evidence of every document: one row per run of non-blank body lines."""
     return passages.register_evidence(_documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source_path"), F.coalesce("chapter", F.lit(0)).alias("chapter"), "text"))
@@ -139,6 +159,7 @@ QUERIES = {
         greedy_pack,
         per_source_cap,
         chunk_documents,
+        chunk_checks,
         evidence_registry,
         index_diff,
         index_reuse,
@@ -175,6 +196,7 @@ walk AS (
   UNION ALL SELECT s.doc_id, s.segment, s.t, CASE WHEN w.held + s.t > 200 THEN s.t ELSE w.held + s.t END, CASE WHEN w.held + s.t > 200 THEN w.pack + 1 ELSE w.pack END
   FROM walk w JOIN size s ON s.doc_id = w.doc_id AND s.segment = w.segment + 1)
 SELECT doc_id, pack, min(segment) AS first_segment, max(segment) AS last_segment, CAST(sum(t) AS BIGINT) AS tokens FROM walk GROUP BY 1, 2""",
+    "chunk_checks": """SELECT * FROM (VALUES ('over the maximum', 0::BIGINT), ('wrong token count', 0), ('wrong hash', 0), ('lines turned round', 0), ('line without a chunk', 0), ('blank chunk', 0)) AS t("check", violations)""",
     "per_source_cap": "SELECT source, doc_id, n_chars, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 3",
     "index_diff": """
 WITH c AS (SELECT DISTINCT source_path, content_hash, sha256(text) AS actual FROM chunks)

@@ -92,3 +92,12 @@ def distinct_union(first: DataFrame, *others: DataFrame) -> DataFrame:
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]`` if the column is there, else a typed null."""
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def counted(checks: dict[str, DataFrame]) -> DataFrame:
+    """(check, violations): how many rows each of the checks found."""
+    out = None
+    for name, rows in checks.items():
+        part = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lectern.sources.sinks import folder_names
+
 
 def stream(spark: SparkSession, path: str, files_per_trigger: int = 16) -> DataFrame:
     """A parquet table as a stream of its files."""
@@ -40,27 +43,45 @@ def windowed_events(events: DataFrame, late: str = "1 hour", width: str = "1 hou
 
 
 def incremental_index(chapters: DataFrame, index: str, checkpoint: str, make) -> None:
-    """Re-indexes the changed chapters of a stream of (source_path, chapter, text) and no others.
+    """Indexes the changed chapters of a stream of (source_path, chapter, text) and no others.
 
-    ``make`` turns chapters into chunks.  The index holds ``text_hash``; a chapter whose hash is there
-    already is passed over, so a repeated batch changes nothing."""
+    ``make`` turns chapters into chunks.  Each batch writes the hashes and the chunks of the chapters whose
+    text differs from the one last indexed; ``indexed`` reads of each path what the last batch wrote, so a
+    changed chapter replaces its chunks, one that loses its text has none, and one changed back is
+    indexed again.  Batches are numbered on, whatever stream they come from; one that is repeated after a
+    failure keeps its number and writes its rows anew.  Of several texts of a path in one batch the
+    greatest stands."""
+    stream_name = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def write(batch: DataFrame, number: int) -> None:
-        spark, rows = batch.sparkSession, batch.dropDuplicates(["source_path", "text"]).withColumn("text_hash", F.sha2("text", 256))
-        try:
-            rows = rows.join(spark.read.parquet(index).select("source_path", "text_hash").distinct(), ["source_path", "text_hash"], "left_anti")
-        except Exception as error:  # nothing indexed yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
+        spark = batch.sparkSession
+        known = sorted(n.removeprefix("batch=") for n in folder_names(spark, f"{index}/state") if n.startswith("batch="))
+        own = next((n for n in known if n.endswith(f".{stream_name}.{number}")), None)
+        name = own or f"{int(known[-1].split('.')[0]) + 1 if known else 0:012d}.{stream_name}.{number}"
+        newest = batch.where("source_path is not null").groupBy("source_path").agg(F.max(F.struct("text", "chapter")).alias("c")).select("source_path", "c.chapter", "c.text")
+        rows = newest.withColumn("text_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
+        if known:
+            earlier = spark.read.schema(_STATE).parquet(f"{index}/state").where(F.col("batch") < name)
+            last = earlier.groupBy("source_path").agg(F.max_by("text_hash", "batch").alias("text_hash"))
+            rows = rows.join(last, ["source_path", "text_hash"], "left_anti")
         rows = rows.persist()
-        chunks = make(rows.select("source_path", "chapter", "text"))
-        new = chunks.join(rows.select("source_path", "text_hash"), "source_path").withColumn("part", F.pmod(F.xxhash64("source_path"), F.lit(64)))
-        new.write.mode("append").partitionBy("part").parquet(index)
+        # The chunks first: a batch counts from when its state is written.
+        make(rows.where("text is not null").select("source_path", "chapter", "text")).write.mode("overwrite").parquet(f"{index}/chunks/batch={name}")
+        rows.select("source_path", "text_hash").write.mode("overwrite").parquet(f"{index}/state/batch={name}")
         rows.unpersist()
 
     chapters.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+_STATE = "source_path string, text_hash string, batch string"
+
+
+def indexed(spark: SparkSession, index: str) -> DataFrame:
+    """The chunks of an index of ``incremental_index``: of each path those of its last batch."""
+    last = spark.read.schema(_STATE).parquet(f"{index}/state").groupBy("source_path").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{index}/chunks").withColumn("batch", F.col("batch").cast("string")).join(last, ["source_path", "batch"], "left_semi").drop("batch")
+
+
 LEASE_STATE = "owner string, attempt int, until bigint, done boolean"
 
 

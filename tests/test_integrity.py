@@ -23,6 +23,12 @@ def test_slugs(spark):
     assert got[0] == "the-map-s-corner" and got[1].startswith("unit-") and len(got[1]) == 17 and got[2] != got[1]
 
 
+def test_folded_slugs(spark):
+    df = spark.createDataFrame([("Café Über  №5",), ("ﬁne – Été",), ("海岸",)], "t string")
+    got = [r[0] for r in df.select(labels.slug(F.col("t"), "unit", fold=True)).collect()]
+    assert got[:2] == ["cafe-uber-no5", "fine-ete"] and got[2].startswith("unit-")
+
+
 def test_keys_payloads_and_reuse(spark):
     df = spark.createDataFrame([({"a": 1, "c": 2},), ({"a": 1, "b": 1},)], "m map<string,int>")
     assert [r[0] for r in df.select(i.key_problems(F.col("m"), ["a", "b"])).collect()] == [["missing b", "extra c"], []]

@@ -3,27 +3,32 @@ from pyspark.sql import functions as F
 from lectern.operators import knowledge, ledger, questions
 
 
-def analysed(spark, *asked):
-    return [r for r in questions.analyse(spark.createDataFrame([(q,) for q in asked], "question string")).collect()]
-
-
-def test_dimensions(spark):
-    rows = analysed(spark, "比较第3章的甲和乙", "Why does memory matter?", "全书的主题是什么？", "引用“守种人”的原文", "What happened in 1871?", "", None)
-    assert (rows[0].task, rows[0].chapter, rows[0].subject_breadth) == ("compare", 3, "relation")
-    assert (rows[1].task, rows[1].target_type) == ("causal", "entity")
-    assert (rows[2].documentary_scope, rows[2].subject_breadth) == ("book", "theme_multi_subject")
-    assert rows[3].exact_wording and rows[3].terms == ["守种人"] and rows[3].documentary_scope == "span"
-    assert (rows[4].task, rows[4].semantic_kind) == ("fact_detail", "factual")
-    assert rows[5].task is None and rows[6].task is None
+def test_quoted_passages_and_chapters(spark):
+    asked = ["Was heißt „die Küste“ in Kapitel 3 und Kapitel 12?", '第2章中原文说"知识必须有据"，第 2 章', "chap. 7 says “a b” and “a b” and “ ”", "nothing", "", None]
+    df = spark.createDataFrame([(q,) for q in asked], "q string").select(questions.quoted(F.col("q")), questions.chapters(F.col("q")))
+    assert [tuple(r) for r in df.collect()] == [(["die Küste"], [3, 12]), (["知识必须有据"], [2]), (["a b"], [7]), ([], []), ([], []), ([], [])]
 
 
 def test_coverage_modes(spark):
-    asked = questions.analyse(spark.createDataFrame([("a", "explain memory"), ("b", "compare x and y"), ("c", "tell me"), ("d", "tell me")], "turn_id string, question string"))
-    statements = spark.createDataFrame([("b", 0.9), ("b", 0.3), ("c", 0.1)], "turn_id string, score double")
-    compositions = spark.createDataFrame([("a", 0.5, "text"), ("c", 0.9, " ")], "turn_id string, score double, text string")
-    evidence = spark.createDataFrame([("c", 0.5, "quote")], "turn_id string, score double, quote string")
-    got = {r.turn_id: (r.answer_mode, r.sufficient) for r in knowledge.coverage(asked, statements, compositions, evidence).collect()}
-    assert got == {"a": ("canonical_passthrough", True), "b": ("knowledge_synthesis", True), "c": ("raw_synthesis", True), "d": ("raw_synthesis", False)}
+    analysis = "turn_id string, terms array<string>, exact boolean, overview boolean, several boolean, wide boolean"
+    asked = [(t, [], False, t != "b", t == "b", False) for t in "abcdefg"] + [("h", ["Coast"], True, True, False, False)]
+    statements = [("b", "1", 0.9, "x"), ("b", "2", 0.3, "y"), ("c", "1", 0.1, "x")]
+    # e and f hold a statement and its denial; in f they are six places apart, and only six are selected
+    statements += [(t, "1", 0.9, "the map shows the coast") for t in "ef"] + [(t, "9", 0.5, "the map never shows the coast") for t in "ef"]
+    statements += [("f", str(k), 0.8, "other words") for k in range(2, 8)] + [("g", "1", None, "the map")]
+    rows = knowledge.coverage(
+        spark.createDataFrame(asked, analysis),
+        spark.createDataFrame(statements, "turn_id string, id string, score double, text string"),
+        spark.createDataFrame([("a", 0.5, "text"), ("c", 0.9, " "), ("e", 0.9, "text")], "turn_id string, score double, text string"),
+        spark.createDataFrame([("c", 0.5, "quote"), ("h", 0.0, "the coast"), ("e", 0.5, "q")], "turn_id string, score double, quote string"),
+    )
+    got = {r.turn_id: (r.answer_mode, r.sufficient, r.conflict) for r in rows.collect()}
+    assert got == {
+        "a": ("canonical_passthrough", True, False), "b": ("knowledge_synthesis", True, False), "c": ("raw_synthesis", True, False), "d": ("raw_synthesis", False, False),
+        "e": ("raw_synthesis", True, True), "f": ("knowledge_synthesis", True, False), "g": ("raw_synthesis", False, False), "h": ("raw_synthesis", True, False),
+    }
+    reasons = {r.turn_id: r.reasons for r in rows.collect()}
+    assert reasons["e"] == ["knowledge_conflict_detected", "raw_evidence_required"] and reasons["d"] == ["raw_evidence_required", "insufficient_pinned_evidence"]
 
 
 def test_conflicts_and_closure(spark):

@@ -72,6 +72,8 @@ def test_sinks(spark, tmp_path):
     assert sinks.published(spark, f"{tmp_path}/p", "t").count() == 1
     with pytest.raises(ValueError):
         sinks.publish({"t": rows}, f"{tmp_path}/p", "v3", rows)
+    (tmp_path / "p" / "pointers" / "00000003").mkdir()  # a pointer that is still being written
+    assert sinks.current_version(spark, f"{tmp_path}/p") == "v2" and sinks.current_version(spark, f"{tmp_path}/none") is None
     sinks.replace_partitions(rows, f"{tmp_path}/r", "id")
     sinks.replace_partitions(spark.createDataFrame([("a", "7")], "id string, body string").select("body", "id"), f"{tmp_path}/r", "id")
     assert sorted(r.body for r in spark.read.parquet(f"{tmp_path}/r").collect()) == ["2", "7"]
@@ -82,11 +84,18 @@ def test_streams(spark, tmp_path):
     rows.repartition(3).write.parquet(f"{tmp_path}/in")
     ledgers.usage_stream(ledgers.stream(spark, f"{tmp_path}/in", 1), f"{tmp_path}/out", f"{tmp_path}/cp")
     assert {r.status: (r.calls, r.tokens) for r in ledgers.usage_totals(spark, f"{tmp_path}/out").collect()} == {"ok": (2, 12), "bad": (1, None)}
-    chapters = spark.createDataFrame([("a", 1, "text one"), ("b", 2, "text two")], "source_path string, chapter int, text string")
-    chapters.write.parquet(f"{tmp_path}/ch")
-    for run in range(2):
-        ledgers.incremental_index(ledgers.stream(spark, f"{tmp_path}/ch"), f"{tmp_path}/ix", f"{tmp_path}/cp{run}", chunk)
-    assert spark.read.parquet(f"{tmp_path}/ix").count() == 2
+    def feed(*rows):
+        spark.createDataFrame(rows, "source_path string, chapter int, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/ch")
+        ledgers.incremental_index(ledgers.stream(spark, f"{tmp_path}/ch"), f"{tmp_path}/ix", f"{tmp_path}/cp1", chunk)
+        return sorted((r.source_path, r.text) for r in ledgers.indexed(spark, f"{tmp_path}/ix").collect())
+
+    assert feed(("a", 1, "text one"), ("b", 2, "text two")) == [("a", "text one"), ("b", "text two")]
+    assert feed(("a", 1, "text three")) == [("a", "text three"), ("b", "text two")]
+    assert feed(("a", 1, "text one"), ("b", 2, "text two")) == [("a", "text one"), ("b", "text two")]
+    assert feed(("b", 2, None)) == [("a", "text one")]
+    # another stream of the same files ends where this one did
+    ledgers.incremental_index(ledgers.stream(spark, f"{tmp_path}/ch", 1), f"{tmp_path}/ix", f"{tmp_path}/cp2", chunk)
+    assert ledgers.indexed(spark, f"{tmp_path}/ix").where("source_path = 'a'").count() == 1
 
 
 def test_leases(spark, tmp_path):

@@ -12,6 +12,11 @@ def test_kinds_labels_and_joins(spark):
     assert [r[0] for r in pairs.select(s.joined(F.col("a"), F.col("b"))).collect()] == ["the harbour", "海岸记忆", "a b"]
 
 
+def test_damaged_page_labels(spark):
+    df = spark.createDataFrame([("001",), ("l2 3",), ("i(>5",), ("ISBN 978-7-0000",), ("（12）",), ("1(2",), ("",), (None,)], "l string")
+    assert [r[0] for r in df.select(s.page_label(F.col("l"))).collect()] == [1, 123, 105, None, 12, 12, None, None]
+
+
 def test_edges(spark):
     rows = [("d", p, k, t) for p in range(1, 6) for k, t in enumerate([f"Book {p}", f"text {p} body", "end" if p % 2 else f"other {'x' * p}"])]
     lines = spark.createDataFrame(rows, "document string, page int, line int, text string")
