@@ -71,6 +71,7 @@ TWO_BYTE_PAIRS = tuple((w, t) for w in ("cp1252", "latin-1", "mac_roman", "cp125
 
 _UTF8_BYTES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){3,}")
 _TOKEN = re.compile(r"[^\s\x00-\x26\x28-\x3e\x40\x5b-\x60\x7b-\x7f]+")
+_HIGH_TOKEN = re.compile(r"[A-Za-z'?]*[^\s\x00-\x7f]" + _TOKEN.pattern[:-1] + "*")
 _WORDS = re.compile(r"[^\W\d_㐀-鿿]+")
 _WIDE = re.compile("[\u2e80-\ufaff\uff61-\uff9f]")
 _WORD_BEFORE, _WORD_AFTER = re.compile(r"[^\W\d_]*\Z"), re.compile(r"[^\W\d_]{0,40}")
@@ -144,7 +145,7 @@ def corpus_sketch(texts: DataFrame, column: str = "text", bits: int = SKETCH_BIT
                 if text:
                     held.append(text)
                     size += len(text)
-                    if size > 400_000:  # one long string is counted much faster than many short ones
+                    if size > 1_600_000:  # one long string is counted much faster than many short ones
                         _count_text(["\n".join(held)], bits, sums)
                         held, size = [], 0
         if held:
@@ -359,7 +360,9 @@ def _utf8_stretches(text: str, model: Model) -> dict[str, list[tuple[int, int, s
                 new = match.group().translate(_to_byte(read)).encode("latin-1").decode("utf-8")
             except (UnicodeDecodeError, UnicodeEncodeError):
                 continue
-            spans.append((match.start(), match.end(), new))
+            # Sound words show two signs that read as one all the time, but hardly ever one that the corpus has.
+            if all(model.has(x) for x in new if x < "\u0800"):
+                spans.append((match.start(), match.end(), new))
         if spans:
             found[read] = [(*x, gain) for x, gain in zip(spans, _gains(model, text, spans))]
     if _WIDE.search(text):
@@ -369,7 +372,7 @@ def _utf8_stretches(text: str, model: Model) -> dict[str, list[tuple[int, int, s
                 continue
             spans = []
             for run in _RUN.finditer(text):
-                spans += _many_byte_spans(text, run.start(), run.end(), read)
+                spans += [x for x in _many_byte_spans(text, run.start(), run.end(), read) if all(model.has(c) for c in x[2] if c < "\u0800")]
             if spans:
                 found[read] = [(*x, gain) for x, gain in zip(spans, _gains(model, text, spans))]
     return found
@@ -399,13 +402,11 @@ def _many_byte_spans(text: str, start: int, end: int, read: str) -> list[tuple[i
 def _one_byte_tokens(text: str, model: Model, cache: dict) -> dict[tuple[str, str], list[tuple[str, str, float]]]:
     """For each one-byte channel, the (word, reading, gain) of the words that it improves."""
     found = defaultdict(list)
-    for token in set(_TOKEN.findall(text)):
-        if _WIDE.search(token) or not _HIGH.search(token):
-            continue
+    for token in set(_HIGH_TOKEN.findall(text)):
         if token not in cache:
             if len(cache) > 200_000:
                 cache.clear()
-            cache[token] = _readings(token, model)
+            cache[token] = () if _WIDE.search(token) else _readings(token, model)
         for channel, new, gain in cache[token]:
             found[channel].append((token, new, gain))
     return found
