@@ -90,9 +90,9 @@ class Measured:
         return begin + int(places[0])
 
 
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
+def pieces(text: str | Measured, limit: int, overlap: int) -> list[tuple[int, int, int]]:
     """(overlap start, start, end) of each piece of ``text``, in order."""
-    whole = Measured(text)
+    whole = text if isinstance(text, Measured) else Measured(text)
     if whole.tokens(0, whole.length) <= limit:
         return [(0, 0, whole.length)]
     overlap = max(0, min(overlap, limit - 1))

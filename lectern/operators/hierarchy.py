@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.session import cut_counting, is_empty
+from lectern.session import cut, cut_counting, is_empty
 
 
 def clean_links(links: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
@@ -165,6 +165,32 @@ def reachable(links: DataFrame) -> DataFrame:
     return pairs
 
 
+def longest(links: DataFrame) -> DataFrame:
+    """(node, descendant, distance): as ``reachable``, by the most links; ``links`` must be free of cycles.
+
+    Pairs are squared until no distance grows, so the rounds are logarithmic in the depth."""
+    count = {"sum": F.sum("distance")}
+    pairs, seen = cut_counting(links.select(F.col("parent").alias("node"), F.col("child").alias("descendant"), F.lit(1).alias("distance")), **count)
+    before = None
+    while seen["sum"] != before:
+        before = seen["sum"]
+        onward = pairs.select(F.col("node").alias("descendant"), F.col("descendant").alias("far"), F.col("distance").alias("more"))
+        further = pairs.join(onward, "descendant").select("node", F.col("far").alias("descendant"), (F.col("distance") + F.col("more")).alias("distance"))
+        pairs, seen = cut_counting(pairs.unionByName(further).groupBy("node", "descendant").agg(F.max("distance").alias("distance")), **count)
+    return pairs
+
+
+def levels(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, level): the order in which what is built of others can be built, 0 for what has no children;
+    null for what lies on a cycle or above one, which can never be built."""
+    turned = links.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    never = cut(spoilt_by_cycles(turned).select("node"))
+    sound = links.join(never.withColumnRenamed("node", "parent"), "parent", "left_anti")
+    deep = longest(sound).groupBy("node").agg(F.max("distance").alias("deep"))
+    known = nodes.select("node").join(deep, "node", "left").join(never.withColumn("never", F.lit(True)), "node", "left")
+    return known.select("node", F.when(F.col("never"), None).otherwise(F.coalesce("deep", F.lit(0))).alias("level"))
+
+
 def squeeze(column):
     """Trimmed text with each run of white space, the ideographic space included, made one space."""
     return F.trim(F.regexp_replace(column, r"[\s\p{Z}\x{85}]+", " "))

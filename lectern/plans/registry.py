@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import integrity, knowledge, operations, outlines, passages, searching
+from lectern.plans import integrity, knowledge, operations, outlines, passages, publication, searching
 
-MODULES = (searching, passages, knowledge, integrity, operations, outlines)
+MODULES = (searching, passages, knowledge, integrity, operations, outlines, publication)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

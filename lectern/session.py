@@ -78,6 +78,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def broadcast_small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, whose lineage should be cut, marked for broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 

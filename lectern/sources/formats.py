@@ -14,6 +14,10 @@ from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # File suffixes and the formats they stand for.
 SUFFIXES = {".pdf": "pdf", ".epub": "epub", ".html": "html", ".htm": "html", ".xhtml": "html", ".txt": "txt", ".md": "txt", ".doc": "doc", ".docx": "docx", ".mobi": "kindle", ".azw3": "kindle"}
 # Elements that end a line, and those whose content is dropped.
@@ -124,6 +128,16 @@ def html_text(value: str) -> str:
     return "\n\n".join(text for tag, _, text in html_blocks(value)[0] if tag != "title")
 
 
+def html_text_column(page: Column) -> Column:
+    """``html_text`` of a column of pages, null for null."""
+
+    @F.pandas_udf("string")
+    def read(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda x: None if x is None else html_text(x))
+
+    return read(page)
+
+
 def _level(tag: str) -> int:
     return int(tag[1]) if re.fullmatch(r"h[1-6]", tag) else 0
 

@@ -79,6 +79,11 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{current_version(spark, root)}/{name}")
 
 
+def append_usage(rows: DataFrame, path: str) -> None:
+    """Appends ``rows`` to a ledger of JSON lines; nulls are left out of the lines."""
+    rows.write.mode("append").json(path)
+
+
 def write_chapters(chapters: DataFrame, path: str) -> None:
     """One text file per chapter of ``chapters(chapter, title, header, text)``, header lines as quotes."""
     head = F.array_join(F.transform(F.map_entries("header"), lambda e: F.concat(F.lit("> "), e["key"], F.lit(": "), e["value"])), "\n")

@@ -49,3 +49,8 @@ def test_every_similar_pair_is_linked(spark):
                 group = {t: low if g == high else g for t, g in group.items()}
     got = {r.t: r.group for r in similar_groups(spark.createDataFrame([(t,) for t in rows], "t string"), "t").collect()}
     assert got == group and len(set(group.values())) < len(rows)
+    # MinHash, measured against the exact groups: of all pairs that share a group it keeps nine in ten at least
+    near = {r.t: r.group for r in minhash_groups(spark.createDataFrame([(t,) for t in rows], "t string"), "t").collect()}
+    same = [(a, b) for a in rows for b in rows if a < b and group[a] == group[b]]
+    kept = sum(near[a] == near[b] for a, b in same)
+    assert kept >= 0.9 * len(same) and all(group[a] == group[g] for a, g in near.items()), kept / len(same)
