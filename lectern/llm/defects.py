@@ -2,15 +2,15 @@
 
 Refusals are found by what recurs, not by a list of phrases.  Every sentence of every answer gives
 its opening.  Equal openings are counted together; near-equal ones are grouped by MinHash over
-character triples, a proposed pair counting only if its Jaccard similarity is verified.  A group
-that recurs across unrelated questions, and whose answers were recorded as refused much more often
-than answers are in general, is a refusal template: the log-likelihood ratio of the group's count
-of refused answers (``REFUSED_SHARE`` against the overall share) must exceed ``EVIDENCE``.  An answer
-refuses if all its sentences open like refusal templates.
-
-The other defects are tests of one pair: copies by comparing letters and digits, language by script
-and function words of the answer without its quotations, truncation by the end of the last line.
-Where a last line has no closing mark and may still be whole (lists and short answers), its last
+character triples, a proposed pair counting only if its Jaccard similarity is verified.  A group is a
+template if it recurs across unrelated questions, those that are near-equal counting about once; a
+template is a refusal if its answers were recorded as refused much more often than answers are in
+general: the log-likelihood ratio of its count of refused answers (``REFUSED_SHARE`` against the overall
+share) must exceed ``EVIDENCE``.  An answer refuses if all its sentences open like refusals.
+
+The other defects are tests of one pair: copies by comparing letters and digits, language by profiles
+learnt from the pairs (``language``), of the answer without its quotations, truncation by the end of the
+last line.  Where a last line has no closing mark and may still be whole (lists and short answers), its last
 two or three words must end a sentence or a short answer in other answers, in at least ``ENDS_SHARE``
 of all the answers that have them, those with the words inside a sentence included.
 
@@ -29,15 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import emit, small_batches
+from lectern.llm.language import differing, profiles
+from lectern.llm.language import seed as language
 from lectern.llm.turns import valid_turns
-from lectern.operators.similarity import similar_groups
-from lectern.session import cut, table
+from lectern.operators.similarity import minhash_groups
+from lectern.session import broadcast_small, cut, spread, table
 
-#: Questions a template must recur in, its expected share of refused answers, and the evidence needed.
+#: Unrelated questions a template must recur in, its expected share of refused answers, and the evidence needed.
 QUESTIONS, REFUSED_SHARE, EVIDENCE = 3, 0.5, 3.0
 #: The share of the other answers with the same words that must have them at an end, for an unmarked
 #: end to count as one.  Cuts fall on any word alike, so even phrases that often precede a cut stay far below.
@@ -54,13 +56,6 @@ _QUOTED = re.compile(r"“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*
 _CLOSED = re.compile(r"[.!?。！？…][\"'”’»“)\]）」』]*$|[”»」』\]）)]$")
 _PAIRS = (("«", "»"), ("《", "》"), ("「", "」"), ("（", "）"), ("(", ")"), ("[", "]"))
 
-# Common function words of the languages that share the Latin script.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it for on with as are this was by from at which or an be not his her their its who what where does how why when only than says about because while between before after".split(),
-    "fr": "le la les de des du et en un une est que qui dans pour sur au aux ce cette par pas ne se son sa ses il elle avec sont comme plus mais ou où dit entre sans avant après parce chaque quel quelle l d qu c n s".split(),
-    "de": "der die das und in den von zu mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach bei einer um am sind noch wie einem über einen so zum vor durch wo warum ohne jede jeder wird schreibt".split(),
-    "es": "el la los las de y en un una que es por con para su se no al lo como más del sus le ha este esta entre cuando muy sin sobre también hasta hay donde quien desde todo nos según dice cada qué por cómo dónde antes después porque".split(),
-}
 # Names of the languages, in several of them, as a question may ask for one.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés английск 英语 英文",
@@ -71,29 +66,6 @@ LANGUAGE_NAMES = {
     "ru": "russian russisch russe ruso русск 俄语 俄文",
 }
 _ASKED = [(code, re.compile("|".join(re.escape(n) for n in names.split()))) for code, names in LANGUAGE_NAMES.items()]
-_VOTES = {}
-for _code, _words in FUNCTION_WORDS.items():
-    for _w in _words:
-        _VOTES.setdefault(_w, []).append(_code)
-
-
-def language(text: str) -> str | None:
-    """The language that most of ``text`` is in, or None where there is too little to tell."""
-    wide = len(re.findall(r"[㐀-鿿]", text))
-    cyrillic = len(re.findall(r"[Ѐ-ӿ]+", text))
-    latin = re.findall(r"[a-zà-öø-ÿœšž]+", text.lower())
-    words = {"zh": wide / 1.6, "ru": float(cyrillic)}
-    best = max(words, key=words.get)
-    if words[best] >= max(1, len(latin)):
-        return best
-    votes = dict.fromkeys(FUNCTION_WORDS, 0.0)
-    for word in latin:
-        for code in (codes := _VOTES.get(word, ())):
-            votes[code] += 1 / len(codes)
-    first, second = sorted(votes.values(), reverse=True)[:2]
-    if first < 1 or first < 1.2 * second:
-        return None
-    return max(votes, key=votes.get)
 
 
 def _plain(text: str) -> str:
@@ -118,15 +90,21 @@ def is_copy(question: str, answer: str) -> bool:
     return 2 * len(said) >= len(asked) and (said in asked)
 
 
-def speaks_otherwise(question: str, answer: str) -> bool:
-    lines = [x for x in re.split(r"[\r\n]+", answer) if not x.lstrip().startswith(">")]
-    proper = "\n".join(lines)
-    bare = _QUOTED.sub(" ", proper)
-    asked, said = language(_QUOTED.sub(" ", question)) or language(question), language(bare) or language(proper)
-    if not asked or not said or asked == said:
-        return False
-    lowered = question.lower()
-    return not any(code == said and names.search(lowered) for code, names in _ASKED)
+def unquoted_lines(text: str) -> str:
+    return "\n".join(x for x in re.split(r"[\r\n]+", text) if not x.lstrip().startswith(">"))
+
+
+def proper(text: str) -> str:
+    """``text`` without quoted lines and quotations, or with them where nothing else is left."""
+    lines = unquoted_lines(text)
+    bare = _QUOTED.sub(" ", lines)
+    return bare if re.search(r"[^\W\d_]{2}", bare) else lines
+
+
+def speak_otherwise(table: np.ndarray, questions: list[str], answers: list[str]) -> list[bool]:
+    """Whether each answer proper is in another language than its question, which did not ask for it."""
+    said = differing(table, [proper(q) for q in questions], [proper(a) for a in answers], [unquoted_lines(a) for a in answers])
+    return [bool(code) and not any(code == c and names.search(q.lower()) for c, names in _ASKED) for code, q in zip(said, questions)]
 
 
 def sentences(answer: str) -> list[str]:
@@ -214,44 +192,61 @@ def _key(answer: str) -> int:
 
 
 _TESTED = pa.schema(
-    [("turn_id", pa.string()), ("refused", pa.bool_()), ("asked", pa.int64()), ("defect", pa.string()), ("ending", pa.string()), ("tails", pa.list_(pa.string())), ("words", pa.int32()), ("openings", pa.list_(pa.string())), ("said", pa.int64())]
+    [("turn_id", pa.string()), ("refused", pa.bool_()), ("asked", pa.list_(pa.int64())), ("defect", pa.string()), ("ending", pa.string()), ("tails", pa.list_(pa.string())), ("words", pa.int32()), ("openings", pa.list_(pa.string())), ("said", pa.int64())]
 )
-_TESTED_DDL = "turn_id string, refused boolean, asked bigint, defect string, ending string, tails array<string>, words int, openings array<string>, said bigint"
+_TESTED_DDL = "turn_id string, refused boolean, asked array<bigint>, defect string, ending string, tails array<string>, words int, openings array<string>, said bigint"
 
 
-def _test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows():
+def _test(shared):
+    """A mapInArrow function: what each pair shows by itself, under the broadcast profiles of languages."""
+
+    def rows(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            held = []
             for turn, question, answer, refused, asked in zip(*(batch.column(c).to_pylist() for c in range(5))):
                 if not answer or not any(c.isalnum() for c in answer):
                     yield turn, refused, asked, "empty", "closed", [], 0, [], None
                     continue
                 question = question if question and any(c.isalnum() for c in question) else ""
-                parts = sentences(answer)
-                defect = None
-                if question:
-                    defect = "copy" if is_copy(question, answer) else "other_language" if speaks_otherwise(question, answer) else None
-                end = ending(answer)
-                words = _WORD.findall(answer)
-                yield turn, refused, asked, defect, end, tails(_CITATION.sub("", answer)), len(words), sorted({opening(x) for x in parts}), _key(answer)
-
-    return emit(rows(), _TESTED)
+                held.append((turn, question, answer, refused, asked, "copy" if question and is_copy(question, answer) else None))
+            tried = [h for h in held if h[1] and not h[5]]
+            others = iter(speak_otherwise(shared.value, [h[1] for h in tried], [h[2] for h in tried]) if tried else ())
+            for turn, question, answer, refused, asked, defect in held:
+                if question and not defect and next(others):
+                    defect = "other_language"
+                openings = sorted({opening(x) for x in sentences(answer)})
+                yield turn, refused, asked, defect, ending(answer), tails(_CITATION.sub("", answer)), len(_WORD.findall(answer)), openings, _key(answer)
+
+    return lambda batches: emit(rows(batches), _TESTED)
+
+
+def _kinds(question: Column) -> Column:
+    """Three numbers of a question, each the least hash of its words under another seed.
+
+    Near-equal questions share each with the probability of their likeness, unrelated ones hardly ever, so
+    the number of distinct ones counts near-equal questions about once."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(question, F.lit(""))), r"[^\p{L}\p{N}]+", " ")), " ")
+    # Pairs of words, or of wide characters, which stand without spaces between them.
+    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length(words[0]) - 1, F.lit(1))), lambda i: F.substring(words[0], i, F.lit(2)))
+    )
+    return F.array(*(F.array_min(F.transform(pairs, lambda p, s=seed: F.xxhash64(F.lit(s), p))) for seed in range(3)))
 
 
 def refusal_openings(tested: DataFrame) -> DataFrame:
-    """(opening) of the sentences that decline to answer, from (refused, asked, openings)."""
+    """(opening) of the sentences that decline to answer, from (refused, asked, openings).
+
+    ``asked`` are the numbers of ``_kinds``; distinct ones are counted by sketches, which a group unites."""
     said = tested.select("refused", "asked", F.explode("openings").alias("opening"))
-    counts = cut(
-        said.groupBy("opening").agg(
-            F.count("*").alias("n"), F.count_if("refused").alias("k"), F.approx_count_distinct("asked", 0.02).alias("questions")
-        )
-    )
-    groups = similar_groups(counts.select("opening"), "opening", grams=3, similarity=0.8)
+    sketches = [F.hll_sketch_agg(F.col("asked")[k], 10).alias(f"kinds{k}") for k in range(3)]
+    counts = cut(said.groupBy("opening").agg(F.count("*").alias("n"), F.count_if("refused").alias("k"), *sketches))
+    groups = minhash_groups(counts.select("opening"), "opening", grams=3, similarity=0.8)
     whole = counts.agg(F.sum("n").alias("all_n"), F.sum("k").alias("all_k"))
+    united = [F.hll_sketch_estimate(F.hll_union_agg(f"kinds{k}")) for k in range(3)]
     pooled = (
         counts.join(groups, "opening")
         .groupBy("group")
-        .agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.max("questions").alias("most"), F.sum("questions").alias("questions"))
+        .agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.least(*united).alias("questions"))
         .join(F.broadcast(whole))
     )
     base = F.greatest(F.lit(0.005), F.least(F.lit(0.2), F.col("all_k") / F.col("all_n")))
@@ -300,12 +295,13 @@ def defective_pairs(turns: DataFrame) -> DataFrame:
     """(turn_id, defect): the first that applies of empty, refusal, copy, other_language, truncated."""
     small_batches(turns.sparkSession)
     rows = valid_turns(turns, "question", "answer", "status").where(F.col("status").isin("succeeded", "refused"))
-    asked = F.xxhash64(F.regexp_replace(F.lower("question"), r"[^\p{L}\p{N}]+", " "))
-    tested = cut(
-        rows.select("id", "question", "answer", (F.col("status") == "refused").alias("refused"), asked.alias("asked")).mapInArrow(_test, _TESTED_DDL)
-    )
+    rows = spread(cut(rows.drop("ingested_at")))
+    shared = turns.sparkSession.sparkContext.broadcast(profiles(rows))
+    asked = rows.select("id", "question", "answer", (F.col("status") == "refused").alias("refused"), _kinds(F.col("question")).alias("asked"))
+    tested = cut(asked.mapInArrow(_test(shared), _TESTED_DDL))
     openings = tested.where("defect is null or defect <> 'empty'").select("turn_id", F.explode("openings").alias("opening"))
-    refusing = refusal_openings(tested).withColumn("declines", F.lit(True))
+    # Few openings decline; where they are as few as they should be, no answer moves for them.
+    refusing = broadcast_small(cut(refusal_openings(tested)).withColumn("declines", F.lit(True)))
     refused = (
         openings.join(refusing, "opening", "left")
         .groupBy("turn_id")

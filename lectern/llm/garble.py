@@ -40,8 +40,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import emit, small_batches, spread
-from lectern.session import table
+from lectern.llm.batches import emit, small_batches
+from lectern.session import spread, table
 
 #: Counters in a row of the sketch (a power of two).
 SKETCH_BITS = 20

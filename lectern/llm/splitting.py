@@ -20,108 +20,17 @@ limit is cut to the limit less one.  Empty input gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions.text import CJK_RANGES, contains_cjk, count_tokens
 from lectern.llm.batches import emit, small_batches
+from lectern.operators.cutting import Measured, pieces
 from lectern.session import table
 
-#: Pattern of text before a cut, and the strength of a cut right after it; later ones override.
-BOUNDARIES = (
-    (1, re.compile(r"\s+")),
-    (2, re.compile(r"[,;:]\s+|[，、；：]")),
-    (3, re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？…]+[”’」』）]*")),
-    (4, re.compile(r"(?:\r\n|\r|\n)[ \t]*")),
-    (5, re.compile(r"(?:\r\n|\r|\n)[ \t]*(?:\r\n|\r|\n)\s*")),
-    (6, re.compile(r"\f\s*|(?:^|[\r\n]+)(?=[ \t]*#{1,6}[ \t])")),
-)
-
-
-class Measured:
-    """A text with the prefix sums and boundary strengths that cutting needs."""
-
-    def __init__(self, text: str):
-        self.text = text
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        wide = np.zeros(len(points), bool)
-        for low, high in CJK_RANGES:
-            wide |= (points >= low) & (points <= high)
-        self.wide = np.concatenate([[0], np.cumsum(wide)])
-        self.length = len(points)
-        #: Four times the tokens, as far as rounding goes; grows with every character.
-        self.weight = np.arange(self.length + 1) + 3 * self.wide
-        strength = np.zeros(self.length + 1, np.int8)
-        for value, pattern in BOUNDARIES:
-            for match in pattern.finditer(text):
-                strength[match.end()] = value
-        marks = ((points >= 0x300) & (points <= 0x36F)) | (points == 0x200D) | ((points >= 0xFE00) & (points <= 0xFE0F))
-        inside = np.flatnonzero(marks)
-        strength[inside] = -1
-        strength[np.flatnonzero((points[1:] == 10) & (points[:-1] == 13)) + 1] = -1
-        self.strength = strength
-
-    def tokens(self, start: int, end: int) -> int:
-        wide = int(self.wide[end] - self.wide[start])
-        return max(1, wide + (end - start - wide + 3) // 4)
-
-    def cut(self, start: int, end: int) -> int:
-        """The place to cut ``start:end``, strictly inside."""
-        low, high = self.weight[start], self.weight[end]
-        first = int(np.searchsorted(self.weight, low + (high - low) / 4))
-        last = int(np.searchsorted(self.weight, high - (high - low) / 4, "right"))
-        first, last = max(first, start + 1), min(max(last, first + 1), end)
-        if first >= last:
-            return start + 1
-        near = self.strength[first:last]
-        best = np.flatnonzero(near == near.max())
-        middle = int(np.searchsorted(self.weight, (low + high) / 2)) - first
-        return first + int(best[np.argmin(np.abs(best - middle))])
-
-    def overlap_start(self, start: int, least: int, overlap: int) -> int:
-        """Where the overlap before ``start`` begins: at a word, at most ``overlap`` tokens before."""
-        if overlap <= 0:
-            return start
-        begin = int(np.searchsorted(self.weight, self.weight[start] - 4 * overlap))
-        while begin < start and self.tokens(begin, start) > overlap:
-            begin += 1
-        begin = max(begin, least)
-        half = (begin + start) // 2
-        places = np.flatnonzero(self.strength[begin : half + 1] > 0)
-        if begin == 0 or (len(places) == 0 and self.strength[begin] >= 0):
-            return begin
-        if len(places) == 0:
-            sound = np.flatnonzero(self.strength[begin : start + 1] >= 0)
-            return begin + int(sound[0])
-        return begin + int(places[0])
-
-
-def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
-    """(overlap start, start, end) of each piece of ``text``, in order."""
-    whole = Measured(text)
-    if whole.tokens(0, whole.length) <= limit:
-        return [(0, 0, whole.length)]
-    overlap = max(0, min(overlap, limit - 1))
-    room, done, waiting = limit - overlap, [], [(0, whole.length)]
-    while waiting:
-        start, end = waiting.pop()
-        if whole.tokens(start, end) <= room or end - start < 2:
-            done.append((start, end))
-        else:
-            middle = whole.cut(start, end)
-            waiting += [(middle, end), (start, middle)]
-    out, least = [], 0
-    for start, end in done:
-        least = whole.overlap_start(start, least, overlap) if start else 0
-        out.append((least, start, end))
-    return out
-
-
 _PIECES = pa.schema(
     [
         ("record", pa.string()),
@@ -142,7 +51,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 record, item, text, limit, overlap = (batch.column(c)[k].as_py() for c in range(5))
-                cuts, whole = pieces(text, limit, overlap), Measured(text)
+                whole = Measured(text)
+                cuts = pieces(whole, limit, overlap)
                 for n, (begin, start, end) in enumerate(cuts):
                     yield record, item, n + 1, len(cuts), begin, start, end, whole.tokens(begin, end), text[begin:end]
 

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.batches import small_batches, spread
+from lectern.llm.batches import small_batches
+from lectern.session import spread
 
 #: A byte-pair vocabulary for many languages, as ranks; any file of that form can be named instead.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"

@@ -1,4 +1,7 @@
+import numpy as np
+
 from lectern.llm import defects as d
+from lectern.llm import language
 
 TURNS = "id string, question string, answer string, status string, ingested_at int, refused string, tail string"
 
@@ -21,13 +24,47 @@ def test_copies():
     assert d.is_copy("书中最早在哪里提到盐？", "书中最早在哪里提到盐。[1]") and not d.is_copy("书中最早在哪里提到盐？", "书中最早在哪里提到盐？主要因为海岸。")
 
 
+SPOKEN = {
+    "en": "the keeper of the seeds is in the house and the map that shows the coast was drawn by her hand because the harbour has changed",
+    "fr": "la gardienne des graines est dans la maison et la carte qui montre la côte fut dessinée par sa main parce que le port a changé",
+    "de": "die hüterin der samen ist in dem haus und die karte die die küste zeigt wurde von ihrer hand gezeichnet weil der hafen sich geändert hat",
+    "es": "la guardiana de las semillas está en la casa y el mapa que muestra la costa fue dibujado por su mano porque el puerto ha cambiado",
+    "ru": "хранительница семян живёт в доме и карта которая показывает берег была нарисована её рукой потому что гавань изменилась",
+    "zh": "守种人翻译了脚注的用法，残破的索引揭示了读者的耐心，地图比海岸更古老。",
+}
+
+
+def learnt():
+    counts = np.zeros((len(language.LANGUAGES), language.CELLS))
+    for k, code in enumerate(language.LANGUAGES):
+        cells, _ = language._triples([SPOKEN[code] + " Tolova Marvesti"] * 20)
+        counts[k] = np.bincount(cells, minlength=language.CELLS)
+    return language.learnt(counts)
+
+
 def test_other_languages():
-    q = "Which passage shows that the map is older than the coast?"
-    assert d.speaks_otherwise(q, "残破的索引揭示了读者的耐心。")
-    assert d.speaks_otherwise(q, "In short: Die Karte ist älter als die Küste und der Hafen.")
-    assert not d.speaks_otherwise(q, "The map is the older of the two.\n\n> Die Karte ist älter als die Küste und der Hafen der Stadt.")
-    assert not d.speaks_otherwise("Please reply in German: " + q, "Die Karte ist älter als die Küste.")
-    assert not d.speaks_otherwise(q, "Ostiša Rimverith")
+    q = "Which passage shows that the map is in the house of the keeper?"
+    table = learnt()
+    cases = [
+        (q, "地图比海岸更古老，守种人翻译了索引。", True),
+        (q, "In short: Die Karte, die die Küste zeigt, ist in dem Haus der Hüterin.", True),
+        (q, "La gardienne de la maison a dessiné la carte.", True),
+        (q, "사서는 씨앗을 지키는 사람이다", True),
+        (q, "The map that shows the coast.\n\n> Die Karte, die die Küste zeigt, ist in dem Haus der Hüterin.", False),
+        ("Please reply in German: " + q, "Die Karte, die die Küste zeigt, ist in dem Haus.", False),
+        (q, "Tolova Marvesti", False),
+        ("지도는 어디에 있습니까", "사서는 씨앗을 지키는 사람이다", False),
+        (q, "1871", False),
+    ]
+    assert d.speak_otherwise(table, [c[0] for c in cases], [c[1] for c in cases]) == [c[2] for c in cases]
+
+
+def test_profiles_are_learnt_from_the_pairs(spark):
+    pairs = [(SPOKEN[c], SPOKEN[c]) for c in SPOKEN for _ in range(3)] + [(None, "x"), ("…", None), ("", "")]
+    table = language.profiles(spark.createDataFrame(pairs, "question string, answer string"))
+    found, _ = language.scores(table, list(SPOKEN.values()))
+    assert [language.LANGUAGES[k] for k in found.argmax(axis=1)] == list(SPOKEN)
+    assert language.profiles(spark.createDataFrame([], "question string, answer string")).shape == table.shape
 
 
 def test_endings():
