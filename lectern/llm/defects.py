@@ -48,6 +48,7 @@ ENDS_SHARE = 0.01
 TAIL_CELLS = 1 << 20
 
 _WORD = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:['’][^\W_㐀-鿿]+)*")
+_NO_LETTERS = re.compile(r"[\W_]+")
 _CITATION = re.compile(r"\s*\[\^?[\w-]{1,12}\]")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*\s+|(?<=[。！？])[”’」』）]*|[\r\n]+")
 _MARKER = re.compile(r"^\s*(?:>\s*)*(?:[-*•]\s+|\d{1,3}[.)]\s*|#{1,6}\s+)*")
@@ -69,7 +70,7 @@ _ASKED = [(code, re.compile("|".join(re.escape(n) for n in names.split()))) for
 
 
 def _plain(text: str) -> str:
-    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+    return _NO_LETTERS.sub("", unicodedata.normalize("NFKC", text).lower())
 
 
 def is_copy(question: str, answer: str) -> bool:
@@ -136,14 +137,17 @@ def tails(text: str) -> list[str]:
     return _last(words, len(words))
 
 
-def occurrences(answer: str, end: str) -> dict[str, tuple[bool, bool]]:
-    """The word groups of ``tails`` that an answer has: whether at an end and whether inside a sentence.
+def occurrences(answer: str, end: str, wanted=lambda word: True) -> dict[str, tuple[bool, bool]]:
+    """The word groups of ``tails`` that an answer has: whether at an end and whether inside a sentence;
+    only those whose last word is ``wanted``.
 
     An unmarked end is one only in a short answer; elsewhere it may be a cut and says nothing."""
     found: dict[str, tuple[bool, bool]] = {}
     for part in sentences(answer):
         words = _counted(part)
-        for k in range(1, len(words) + 1):
+        for k, word in enumerate(words, 1):
+            if not wanted(word):
+                continue
             ended = k == len(words)
             if ended and not (end == "short" or _CLOSED.search(part)):
                 continue
@@ -262,21 +266,35 @@ def cut_short(answers: DataFrame, doubtful: DataFrame) -> DataFrame:
     """(turn_id) of ``doubtful(turn_id, said, tail)`` none of whose tails is at an end in ``ENDS_SHARE`` of
     the other ``answers(answer)`` that have it.  Equal answers count once, and not for one another."""
     spark = answers.sparkSession
-    looked_for = np.zeros(TAIL_CELLS, np.uint8)
-    cells = doubtful.select((F.crc32("tail") % TAIL_CELLS).alias("cell")).distinct().toArrow()
-    looked_for[cells.column(0).to_numpy()] = 1
-    shared = spark.sparkContext.broadcast(looked_for.tobytes())
+    # Two sifts of a fixed size: the groups looked for, and before that their last words.
+    last = F.when(F.right("tail", F.lit(1)).rlike("[㐀-鿿]"), F.right("tail", F.lit(1))).otherwise(F.substring_index("tail", " ", -1))
+    sifts = np.zeros((2, TAIL_CELLS), np.uint8)
+    for row, text in enumerate((F.col("tail"), last)):
+        cells = doubtful.select((F.crc32(text) % TAIL_CELLS).alias("cell")).distinct().toArrow()
+        sifts[row, cells.column(0).to_numpy()] = 1
+    shared = spark.sparkContext.broadcast(sifts.tobytes())
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sought = shared.value
+        sought, ends, known = shared.value[:TAIL_CELLS], shared.value[TAIL_CELLS:], {}
+
+        def cell(text: str) -> int:
+            return zlib.crc32(text.encode("utf-8", "surrogatepass")) % TAIL_CELLS
+
+        def wanted(word: str) -> bool:
+            if (found := known.get(word)) is None:
+                if len(known) > 200_000:
+                    known.clear()
+                found = known[word] = bool(ends[cell(word)])
+            return found
 
         def out():
             for batch in batches:
                 for answer in batch.column(0).to_pylist():
                     if answer:
-                        key = _key(answer)
-                        for tail, (ended, _) in occurrences(answer, ending(answer)).items():
-                            if sought[zlib.crc32(tail.encode("utf-8", "surrogatepass")) % TAIL_CELLS]:
+                        key = None
+                        for tail, (ended, _) in occurrences(answer, ending(answer), wanted).items():
+                            if sought[cell(tail)]:
+                                key = _key(answer) if key is None else key
                                 yield tail, key, ended
 
         return emit(out(), _OCCURRENCES)

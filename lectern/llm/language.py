@@ -143,10 +143,11 @@ def differing(table: np.ndarray, questions: list[str], answers: list[str], whole
     own, sure = np.argmax(asked, axis=1), order[:, -1] - order[:, -2] >= ALL / 2
     said, _, told = _told(table, answers)
     best = np.argmax(said, axis=1)
-    if whole is not None:
-        more, _, told_more = _told(table, whole)
-        best = np.where(told, best, np.argmax(more, axis=1))
-        told = told | told_more
+    # Few answers are told by their quotations only.
+    again = [k for k in range(len(answers)) if whole is not None and not told[k] and whole[k] != answers[k]]
+    if again:
+        more, _, told_more = _told(table, [whole[k] for k in again])
+        best[again], told[again] = np.argmax(more, axis=1), told_more
     found: list[str | None] = [LANGUAGES[b] if t else None for b, t in zip(best, told & sure & (best != own))]
     for k, (question, answer) in enumerate(zip(questions, answers)):
         # Scripts tell without any text to learn from; Latin letters do not, names being written in them everywhere.
