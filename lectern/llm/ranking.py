@@ -172,7 +172,7 @@ def _result(ranked: DataFrame) -> DataFrame:
 
 def p1_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per turn, one ranking of all hits by their own scores."""
-    scores = hits(spark, sf_dir).withColumn("channel", F.col("kind"))
+    scores = cut(hits(spark, sf_dir)).withColumn("channel", F.col("kind"))
     return _result(rank(fuse(scores, "turn_id", {}), "turn_id"))
 
 
