@@ -72,9 +72,9 @@ def audit_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def active_turn_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations with more than one turn in work at once."""
+    """Conversations with turns in work, how many, and whether that is more than the one there may be."""
     active = _turns(spark, sf_dir).where(F.col("status").isin(*ledger.ACTIVE) & F.col("conversation_id").isNotNull())
-    return active.groupBy("conversation_id").agg(F.count("*").alias("active")).where("active > 1")
+    return active.groupBy("conversation_id").agg(F.count("*").alias("active")).withColumn("violated", F.col("active") > 1)
 
 
 def turn_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +147,7 @@ ORACLE = {
     "paginated_audit": _T + "SELECT id, conversation_id, status, epoch_us(created_at) AS created_us FROM turn WHERE question ILIKE '%ledger%' ORDER BY created_at DESC NULLS LAST, id LIMIT 20 OFFSET 20",
     "audit_total": _T + "SELECT count(*) AS total FROM turn WHERE question ILIKE '%ledger%'",
     "active_turn_violation": _T
-    + "SELECT conversation_id, count(*) AS active FROM turn WHERE status IN ('queued', 'retrieving', 'generating') AND conversation_id IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
+    + "SELECT conversation_id, count(*) AS active, count(*) > 1 AS violated FROM turn WHERE status IN ('queued', 'retrieving', 'generating') AND conversation_id IS NOT NULL GROUP BY 1",
     "turn_contiguity": _T
     + """SELECT conversation_id, count(*) AS turns, count(DISTINCT turn_no) AS numbers, min(turn_no) AS first, max(turn_no) AS last FROM turn WHERE conversation_id IS NOT NULL GROUP BY 1
   HAVING NOT coalesce(min(turn_no) = 1 AND max(turn_no) = count(*) AND count(DISTINCT turn_no) = count(*), false)""",

@@ -137,8 +137,10 @@ def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def coverage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that no unit of a path covers, between units that do."""
-    return passages.gaps(_unit_pages(spark, sf_dir), "source_path", "first", "last", "unit_id")
+    """Places of a source's outline that no node of a level takes, between nodes of that level."""
+    rows = table(spark, sf_dir, "source_nodes").where("source_id is not null and ordinal is not null and level is not null")
+    places = rows.select(F.concat_ws("/", "source_id", F.col("level").cast("string")).alias("level"), "node_id", F.col("ordinal").alias("first"), F.col("ordinal").alias("last")).distinct()
+    return passages.gaps(places, "level", "first", "last", "node_id")
 
 
 def next_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,9 +222,9 @@ SELECT source_id, median, units, round(count(*) FILTER (abs(off - round_even(med
 SELECT source_path, (first - 1) // 20 AS part, count(*) AS units, min(first) AS from_page, max(last) AS to_page
 FROM (SELECT DISTINCT source_path, unit_id, locator.physical_page_start AS first, locator.physical_page_end AS last FROM source_units) WHERE first IS NOT NULL AND last >= first GROUP BY 1, 2""",
     "coverage_gaps": """
-WITH u AS (SELECT DISTINCT source_path, unit_id, locator.physical_page_start AS first, locator.physical_page_end AS last FROM source_units),
-g AS (SELECT *, max(last) OVER (PARTITION BY source_path ORDER BY first, last, unit_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM u WHERE first IS NOT NULL AND last >= first)
-SELECT source_path, seen + 1 AS gap_start, first - 1 AS gap_end FROM g WHERE first > seen + 1""",
+WITH u AS (SELECT DISTINCT source_id || '/' || level AS level, node_id, ordinal AS first, ordinal AS last FROM source_nodes WHERE source_id IS NOT NULL AND ordinal IS NOT NULL AND level IS NOT NULL),
+g AS (SELECT *, max(last) OVER (PARTITION BY level ORDER BY first, last, node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM u)
+SELECT level, seen + 1 AS gap_start, first - 1 AS gap_end FROM g WHERE first > seen + 1""",
     "next_boundary": """
 SELECT source_id, unit_id, ordinal, lead(ordinal) OVER (PARTITION BY source_id ORDER BY ordinal, unit_id) - 1 AS until
 FROM (SELECT DISTINCT source_id, unit_id, ordinal FROM source_units) WHERE ordinal IS NOT NULL""",

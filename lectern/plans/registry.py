@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.plans import integrity, knowledge, operations, outlines, passages, publication, searching
+from lectern.plans import integrity, knowledge, operations, outlines, passages, publication, searching, structures
 
-MODULES = (searching, passages, knowledge, integrity, operations, outlines, publication)
+MODULES = (searching, passages, knowledge, integrity, operations, outlines, publication, structures)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,12 +35,28 @@ class Unit:
     level: int
     lines: list[str] = field(default_factory=list)
     locator: dict = field(default_factory=dict)
+    #: Deeper headings inside the unit: (level, title).
+    heads: list[tuple[int, str]] = field(default_factory=list)
 
     @property
     def text(self) -> str:
         return "\n\n".join(self.lines)
 
 
+def nested(heads: list[tuple[int, str]]) -> list[tuple[int | None, list[str]]]:
+    """(parent, breadcrumb) of headings (level, title) in order: the parent is the number, from 1, of the nearest
+    earlier heading of a lower level, the breadcrumb the titles down to the heading itself."""
+    out: list[tuple[int | None, list[str]]] = []
+    above: list[tuple[int, int]] = []
+    for number, (level, title) in enumerate(heads, 1):
+        while above and above[-1][0] >= level:
+            above.pop()
+        parent = above[-1][1] if above else None
+        out.append((parent, [*(out[parent - 1][1] if parent else []), title]))
+        above.append((level, number))
+    return out
+
+
 def detect(path: str, override: str | None = None) -> str:
     """The format of a path by its suffix, or ``override`` if it names one."""
     known = set(SUFFIXES.values())
@@ -153,6 +169,8 @@ def parse_html(data: bytes, href: str = "") -> list[Unit]:
             if not units:
                 units.append(Unit(named or "Front Matter", 1, [], {"href": href, "fragment": None, "line_start": number}))
             units[-1].lines.append(text)
+            if level:
+                units[-1].heads.append((level, text))
         units[-1].locator["line_end"] = number
     return units
 
@@ -161,8 +179,12 @@ _HEAD = re.compile(r"^(#{1,6})\s+(.+?)\s*#*$")
 _NAMED = re.compile(r"^(?:chapter|part|section|appendix)\s+(?:\d+|[ivxlc]+)\b.{0,80}$|^第\s*[0-9一二三四五六七八九十百零〇]+\s*[章节回部卷].{0,60}$", re.IGNORECASE)
 
 
+_NUMBERED = re.compile(r"^(\d{1,2}(?:\.\d{1,2}){1,3})\.?\s+\S.{0,78}[^.。!！?？:：,，;；]$")
+_COUNTED = re.compile(r"^[一二三四五六七八九十]{1,3}、\s*\S.{0,40}[^。！？，；：]$")
+
+
 def heading(line: str, following: str = "") -> tuple[int, str] | None:
-    """(level, title) of a line that is a heading: hashes, underlined, or a named chapter."""
+    """(level, title) of a line that is a heading: hashes, underlined, a named chapter, or numbered (1.2, 一、)."""
     text = line.strip()
     if found := _HEAD.match(text):
         return len(found.group(1)), found.group(2)
@@ -170,6 +192,10 @@ def heading(line: str, following: str = "") -> tuple[int, str] | None:
         return 1, text
     if text and re.fullmatch(r"-{3,}", following.strip()):
         return 2, text
+    if found := _NUMBERED.match(text):
+        return found.group(1).count(".") + 1, text
+    if _COUNTED.match(text):
+        return 2, text
     return (1, text) if _NAMED.match(text) else None
 
 
@@ -214,8 +240,35 @@ def _local(element: ElementTree.Element) -> str:
     return element.tag.rpartition("}")[2]
 
 
-def parse_epub(data: bytes) -> list[Unit]:
-    """The spine's documents in order, units split at headings; a short first document is dropped."""
+def _contents(archive: zipfile.ZipFile, base: str, items: dict[str, str]) -> dict[str, str]:
+    """The title that a book's table of contents gives to each of its files, the first where it names several."""
+    found: dict[str, str] = {}
+    for href in items.values():
+        name = posixpath.normpath(posixpath.join(base, href or ""))
+        if not (name.endswith(".ncx") or posixpath.basename(name).startswith("nav")) or name not in archive.namelist():
+            continue
+        for element in _xml(archive, name).iter():
+            link, text = None, ""
+            if _local(element) == "navPoint":
+                link = next((e.get("src") for e in element if _local(e) == "content"), None)
+                text = next(("".join(e.itertext()) for e in element if _local(e) == "navLabel"), "")
+            elif _local(element) == "a":
+                link, text = element.get("href"), "".join(element.itertext())
+            if link and text.strip():
+                target = posixpath.normpath(posixpath.join(posixpath.dirname(name), link.partition("#")[0]))
+                found.setdefault(target, " ".join(text.split()))
+    return found
+
+
+#: Words below which the first document of an EPUB counts as a cover.
+COVER_WORDS = 40
+
+
+def parse_epub(data: bytes, keep_front_matter: bool = False) -> list[Unit]:
+    """The spine's documents in order, units split at headings.
+
+    A first document of fewer than ``COVER_WORDS`` words is a cover and left out, unless ``keep_front_matter``.
+    Titles of the table of contents (EPUB 3's nav or EPUB 2's NCX) stand in for documents without a heading."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
     except zipfile.BadZipFile as error:
@@ -227,6 +280,7 @@ def parse_epub(data: bytes) -> list[Unit]:
         package, base = _xml(archive, roots[0]), posixpath.dirname(roots[0])
         items = {e.get("id"): e.get("href") for e in package.iter() if _local(e) == "item"}
         spine = [e.get("idref") for e in package.iter() if _local(e) == "itemref"]
+        named = _contents(archive, base, items)
         units: list[Unit] = []
         for place, idref in enumerate(spine):
             name = posixpath.normpath(posixpath.join(base, items.get(idref) or ""))
@@ -234,8 +288,10 @@ def parse_epub(data: bytes) -> list[Unit]:
                 continue
             found = parse_html(archive.read(name), name)
             words = sum(len(u.text.split()) for u in found)
-            if place == 0 and words < 40 and len(spine) > 1:
+            if place == 0 and words < COVER_WORDS and len(spine) > 1 and not keep_front_matter:
                 continue
+            if found and name in named and found[0].title in ("Front Matter", ""):
+                found[0].title = named[name]
             for unit in found:
                 unit.locator |= {"spine_id": idref, "spine_index": place}
             units += found

@@ -162,3 +162,13 @@ def test_closure_and_staleness_pass_through_cycles(spark, tmp_path):
     closure = [tuple(r) for r in composition_closure(spark, str(tmp_path)).select("composition", "statement").collect()]
     assert sorted(closure) == [("p", "1"), ("p", "2"), ("q", "1"), ("q", "2"), ("r", "1"), ("r", "2"), ("s", "1")]
     assert sorted(r.node for r in stale_compositions(spark, str(tmp_path)).collect()) == ["p", "q", "r", "s"]
+
+
+def test_levels_by_the_longest_way(spark):
+    edges = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("x", "d"), ("z", "y")]
+    nodes, links = graph(spark, edges, [*"abcdxyz", "lone"])
+    assert {r.node: r.level for r in h.levels(nodes, links).collect()} == {"a": 3, "b": 2, "c": 1, "d": 0, "x": None, "y": None, "z": None, "lone": 0}
+    chain = [(f"n{k:02d}", f"n{k + 1:02d}") for k in range(40)]
+    nodes, links = graph(spark, chain)
+    assert {r.node: r.level for r in h.levels(nodes, links).collect()}["n00"] == 40
+    assert h.levels(nodes.limit(0), links.limit(0)).count() == 0

@@ -42,6 +42,48 @@ def test_formats():
     assert [(u.title, u.text) for u in formats.parse_docx(docx())] == [("H", "Body\n\na | b")]
 
 
+def test_headings_of_all_kinds():
+    cases = {"1.2 The coast": (2, "1.2 The coast"), "3.1.4 Salt and wind": (3, "3.1.4 Salt and wind"), "一、海岸": (2, "一、海岸"), "第三章 海岸": (1, "第三章 海岸"), "## Next": (2, "Next")}
+    for line, want in cases.items():
+        assert formats.heading(line) == want, line
+    for line in ("1.2 is less than 1.3, as the clerk says.", "3 apples", "一、海岸是旧的。", "1.5", ""):
+        assert formats.heading(line) is None, line
+    assert formats.heading("Title", "=====") == (1, "Title")
+
+
+def test_nested_headings():
+    got = formats.nested([(1, "A"), (3, "a"), (2, "b"), (3, "c"), (1, "B"), (2, "d")])
+    assert got == [(None, ["A"]), (1, ["A", "a"]), (1, ["A", "b"]), (3, ["A", "b", "c"]), (None, ["B"]), (5, ["B", "d"])]
+    assert formats.nested([]) == []
+
+
+def test_contents_of_an_epub_name_its_files():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
+        z.writestr("O/p.opf", '<package><manifest><item id="n" href="toc.ncx"/><item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/></spine></package>')
+        z.writestr("O/toc.ncx", '<ncx><navMap><navPoint><navLabel><text> The  Coast </text></navLabel><content src="b.xhtml#x"/></navPoint></navMap></ncx>')
+        z.writestr("O/a.xhtml", "<p>Cover</p>")
+        z.writestr("O/b.xhtml", "<p>No heading here</p>")
+    assert [u.title for u in formats.parse_epub(out.getvalue())] == ["The Coast"]
+    assert len(formats.parse_epub(out.getvalue(), keep_front_matter=True)) == 2
+
+
+def test_outlines_and_rejected_files(spark, tmp_path):
+    (tmp_path / "o").mkdir()
+    page = "<html><head><title>Book</title></head><body><nav><a href='x'>no</a></nav><h1 id='start'>Opening</h1><p>one</p><h3>Deeper</h3><p>two</p><h2>Second chapter</h2><p>three</p></body></html>"
+    (tmp_path / "o/a.html").write_text(page)
+    (tmp_path / "o/empty.txt").write_text("")
+    (tmp_path / "o/long.txt").write_text("x" * 900)
+    heads = readers.read_outline(spark, f"{tmp_path}/o", 800).orderBy("ordinal").collect()
+    assert [(r.title, r.parent, r.unit) for r in heads] == [("Opening", None, 1), ("Deeper", 1, 1), ("Second chapter", 1, 2)]
+    assert heads[2].breadcrumb == ["Opening", "Second chapter"]
+    rows = readers.read_units(spark, f"{tmp_path}/o", 800).collect()
+    assert {r.source_path.rsplit("/", 1)[1]: r.error for r in rows if r.error} == {"empty.txt": "empty file", "long.txt": "more bytes than 800"}
+    assert [r.breadcrumb for r in rows if not r.error] == [["Opening"], ["Opening", "Second chapter"]]
+    assert formats.parse_html(page.encode())[0].locator["fragment"] == "start"
+
+
 def test_read_units_and_chapters(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.html").write_bytes(PAGE)
@@ -50,7 +92,7 @@ def test_read_units_and_chapters(spark, tmp_path):
     (tmp_path / "in/empty.txt").write_bytes(b"")
     (tmp_path / "in/d.xyz").write_bytes(b"?")
     rows = readers.read_units(spark, f"{tmp_path}/in").collect()
-    assert sum(r.error is None for r in rows) == 6 and sum(r.error is not None for r in rows) == 2
+    assert sum(r.error is None for r in rows) == 6 and sum(r.error is not None for r in rows) == 3
     assert len({r.unit_id for r in rows if r.unit_id}) == 6
     (tmp_path / "ch").mkdir()
     (tmp_path / "ch/07-x.md").write_text("# T\n\n> Chapter: 3\n\nbody")
