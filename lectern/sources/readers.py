@@ -43,9 +43,11 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) ->
 
 
 def rejected_files(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
-    """(path, error) of the files below ``path`` that ``read_files`` leaves out, their content unread."""
-    error = F.when(F.col("length") == 0, "empty file").otherwise(F.concat(F.lit("more bytes than "), F.lit(most_bytes)))
-    return _files(spark, path).where((F.col("length") == 0) | (F.col("length") > most_bytes)).select("path", error.alias("error"))
+    """(path, error) of the files below ``path`` that ``read_files`` leaves out, their content unread.
+
+    Files without a byte have no row: a scan does not open them."""
+    error = F.concat(F.lit("more bytes than "), F.lit(most_bytes))
+    return _files(spark, path).where(F.col("length") > most_bytes).select("path", error.alias("error"))
 
 
 def read_units(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
